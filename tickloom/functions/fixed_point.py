@@ -20,7 +20,8 @@ def scale_text(text: Column, places: int) -> Column:
 
     The cast keeps 17 fraction digits and as many integer digits as leave the product inside 38
     digits, so Spark never trades scale for precision in the multiplication. Longer fractions
-    are cut in the text first, since a cast would round them up.
+    are cut in the text first, since a cast would round them up. The cast would also forgive blanks
+    around the number; the pattern does not.
     """
     number = F.when(
         F.length(text) > _FRACTION, F.regexp_replace(text, r"(\.[0-9]{17})[0-9]+", "$1")

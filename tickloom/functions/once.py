@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,3 +16,8 @@ def with_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     one-element array keeps the row count.
     """
     return rows.withColumn(name, F.explode(F.array(value)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` computed once however often the body mentions it."""
+    return F.transform(F.array(value), body)[0]

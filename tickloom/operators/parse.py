@@ -17,7 +17,7 @@ from ..functions.clock import iso_text
 from ..functions.fixed_point import scale_text
 from ..functions.ids import message_id
 from ..functions.jsontext import is_blank, label_text, node, node_text, real_number, whole_number
-from ..functions.once import with_once
+from ..functions.once import let, with_once
 from .monitor import monitor_event
 
 OK, IGNORED, DEAD = "ok", "ignored", "dead_letter"
@@ -82,7 +82,7 @@ def _any_missing(texts: dict[str, Column]) -> Column:
 
 
 def _typed(raw: DataFrame, texts: Column, fields: dict[str, Column], numbers: list[str]) -> DataFrame:
-    """Typed ``fields`` of the rows' ``_texts``, with ``reason`` and ``outcome``."""
+    """The raw columns, typed ``fields`` of ``texts``, ``reason`` and ``outcome``."""
     rows = with_once(raw, "_texts", texts)
     rows = with_once(
         rows, "_typed", F.struct(F.col("_texts.problem").alias("problem"), *(c.alias(n) for n, c in fields.items()))
@@ -97,6 +97,26 @@ def _typed(raw: DataFrame, texts: Column, fields: dict[str, Column], numbers: li
     )
 
 
+def _binance_texts(quick: Column) -> Column:
+    """Field texts of one Binance message, from its quick parse if that found everything."""
+    names = [n for n in BINANCE_FIELDS if n != "kind"]
+    whole = quick["corrupt"].isNull() & _all_present(quick, BINANCE_FIELDS)
+
+    def careful(parsed: Column) -> Column:
+        texts = {n: node_text(parsed, f"$.{BINANCE_FIELDS[n]}") for n in names}
+        texts["crypto_pair"] = label_text(parsed, f"$.{BINANCE_FIELDS['crypto_pair']}")
+        problem = _first_problem(
+            is_blank(F.col("raw")), parsed,
+            (node(parsed, "$.e").isNull(), NOT_TICKER),
+            (_any_missing(texts), MISSING),
+        )
+        return _texts(problem, texts)
+
+    return F.when(whole, _texts(F.lit(None).cast("string"), {n: quick[n] for n in names})).otherwise(
+        let(F.try_parse_json("raw"), careful)
+    )
+
+
 def parse_binance(raw: DataFrame) -> DataFrame:
     """Adds ``outcome``, ``reason`` and the Binance ticker fields to raw payload rows."""
     schema = ",".join(f"`{f}` string" for f in BINANCE_FIELDS.values())
@@ -104,74 +124,54 @@ def parse_binance(raw: DataFrame) -> DataFrame:
     quick = F.from_json("raw", f"{schema},{_CORRUPT} string", _STRICT).cast(
         f"struct<{renamed},corrupt:string>"
     )
-    rows = with_once(raw, "_quick", quick)
-    whole = F.col("_quick.corrupt").isNull() & _all_present(F.col("_quick"), BINANCE_FIELDS)
-    rows = with_once(rows, "_parsed", F.when(~whole, F.try_parse_json("raw")))
-
-    parsed = F.col("_parsed")
-    careful = {n: node_text(parsed, f"$.{f}") for n, f in BINANCE_FIELDS.items() if n != "kind"}
-    careful["crypto_pair"] = label_text(parsed, f"$.{BINANCE_FIELDS['crypto_pair']}")
-    problem = _first_problem(
-        is_blank(F.col("raw")), parsed,
-        (node(parsed, "$.e").isNull(), NOT_TICKER),
-        (_any_missing(careful), MISSING),
-    )
-    names = list(careful)
-    texts = F.when(
-        whole, _texts(F.lit(None).cast("string"), {n: F.col(f"_quick.{n}") for n in names})
-    ).otherwise(_texts(problem, careful))
-
     numbers = ["best_bid_price", "best_bid_qty", "best_ask_price", "best_ask_qty", "volume"]
     fields = {
         "event_time": whole_number(F.col("_texts.event_time")),
         "crypto_pair": F.col("_texts.crypto_pair"),
         **{n: scale_text(F.col(f"_texts.{n}"), BINANCE_PRICE_SCALE) for n in numbers},
     }
-    return _typed(rows, texts, fields, numbers).withColumns({
+    return _typed(raw, let(quick, _binance_texts), fields, numbers).withColumns({
         "timestamp": iso_text(F.col("ingest_ts")),
         "message_id": message_id(F.col("event_time"), F.col("crypto_pair"), F.col("volume")),
         "price_scale": F.lit(BINANCE_PRICE_SCALE),
     })
 
 
-def parse_coinbase(raw: DataFrame) -> DataFrame:
-    """Adds ``outcome``, ``reason`` and the Coinbase ticker fields to raw payload rows.
-
-    Only the first ticker of the first event counts.
-    """
-    ticker_type = ",".join(f"{f}:string" for f in COINBASE_FIELDS.values())
-    quick = F.from_json(
-        "raw",
-        f"timestamp string, events array<struct<tickers:array<struct<{ticker_type}>>>>, {_CORRUPT} string",
-        _STRICT,
-    )
-    rows = with_once(raw, "_quick", quick)
-    first = F.get(F.get(F.col("_quick.events"), F.lit(0))["tickers"], F.lit(0))
-
+def _coinbase_texts(quick: Column) -> Column:
+    """Field texts of one Coinbase message: the first ticker of its first event."""
+    ticker = F.get(F.get(quick["events"], F.lit(0))["tickers"], F.lit(0))
     whole = (
-        F.col("_quick")[_CORRUPT].isNull()
-        & F.col("_quick.timestamp").isNotNull()
-        & _all_present(first, COINBASE_FIELDS.values())
+        quick[_CORRUPT].isNull() & quick["timestamp"].isNotNull()
+        & _all_present(ticker, COINBASE_FIELDS.values())
     )
-    rows = with_once(rows, "_parsed", F.when(~whole, F.try_parse_json("raw")))
-
-    parsed = F.col("_parsed")
-    careful = {
-        n: node_text(parsed, f"$.events[0].tickers[0].{f}") for n, f in COINBASE_FIELDS.items()
-    }
-    careful["crypto_pair"] = label_text(parsed, f"$.events[0].tickers[0].{COINBASE_FIELDS['crypto_pair']}")
-    careful["event_time"] = label_text(parsed, "$.timestamp")
-    problem = _first_problem(
-        is_blank(F.col("raw")), parsed,
-        (node(parsed, "$.events").isNull(), NOT_TICKER),
-        (node(parsed, "$.events[0]").isNull(), MISSING),
-        (node(parsed, "$.events[0].tickers").isNull(), NOT_TICKER),
-        (_any_missing(careful), MISSING),
+    seen = {n: ticker[f] for n, f in COINBASE_FIELDS.items()}
+    seen["event_time"] = quick["timestamp"]
+
+    def careful(parsed: Column) -> Column:
+        first = "$.events[0].tickers[0]"
+        texts = {n: node_text(parsed, f"{first}.{f}") for n, f in COINBASE_FIELDS.items()}
+        texts["crypto_pair"] = label_text(parsed, f"{first}.{COINBASE_FIELDS['crypto_pair']}")
+        texts["event_time"] = label_text(parsed, "$.timestamp")
+        problem = _first_problem(
+            is_blank(F.col("raw")), parsed,
+            (node(parsed, "$.events").isNull(), NOT_TICKER),
+            (node(parsed, "$.events[0]").isNull(), MISSING),
+            (node(parsed, "$.events[0].tickers").isNull(), NOT_TICKER),
+            (_any_missing(texts), MISSING),
+        )
+        return _texts(problem, texts)
+
+    return F.when(whole, _texts(F.lit(None).cast("string"), seen)).otherwise(
+        let(F.try_parse_json("raw"), careful)
     )
-    seen = {n: first[f] for n, f in COINBASE_FIELDS.items()}
-    seen["event_time"] = F.col("_quick.timestamp")
-    texts = F.when(whole, _texts(F.lit(None).cast("string"), seen)).otherwise(_texts(problem, careful))
 
+
+def parse_coinbase(raw: DataFrame) -> DataFrame:
+    """Adds ``outcome``, ``reason`` and the Coinbase ticker fields to raw payload rows."""
+    ticker = ",".join(f"{f}:string" for f in COINBASE_FIELDS.values())
+    quick = F.from_json(
+        "raw", f"timestamp string, events array<struct<tickers:array<struct<{ticker}>>>>, {_CORRUPT} string", _STRICT
+    )
     prices = ["best_bid", "best_ask", "price"]
     quantities = ["best_bid_quantity", "best_ask_quantity"]
     fields = {
@@ -181,7 +181,7 @@ def parse_coinbase(raw: DataFrame) -> DataFrame:
         "event_time": F.col("_texts.event_time"),
         "volume": real_number(F.col("_texts.volume")),
     }
-    return _typed(rows, texts, fields, prices + quantities).withColumns({
+    return _typed(raw, let(quick, _coinbase_texts), fields, prices + quantities).withColumns({
         "timestamp": iso_text(F.col("ingest_ts")),
         "message_id": message_id(F.col("event_time"), F.col("crypto_pair"), F.col("volume")),
         "price_scale": F.lit(COINBASE_PRICE_SCALE),
