@@ -31,23 +31,26 @@ def scale_text(text: Column, places: int) -> Column:
     return F.when(text.rlike(DECIMAL_TEXT), (value * factor).try_cast("bigint"))
 
 
-def _times_power(value: Column, scale: Column, usual: tuple[int, ...], last_digit: int) -> Column:
-    """``value * last_digit * 10^-(scale)``, rounded half up to eight places.
+def _times_power(value: Column, scale: Column, digit: int, shift: int) -> Column:
+    """``value * digit * 10^-(scale + shift)``, rounded half up to eight places; NULL for a scale
+    outside 0..18.
 
-    ``usual`` scales come first in the CASE; every other scale follows, so any row's own scale
-    is honoured.
+    The two scales the feeds use get a short factor each, any other one comes from a constant list. More
+    branches would push the generated method past the size the JVM still compiles.
     """
-    branches = None
-    for s in (*usual, *(s for s in range(MAX_SCALE + 1) if s not in usual)):
-        factor = F.lit(Decimal(last_digit).scaleb(-s))
-        product = F.round(value * factor, OUTPUT_PLACES).cast("decimal(28,8)")
-        branches = F.when(scale == s, product) if branches is None else branches.when(scale == s, product)
-    return branches
+
+    def factor(s: int) -> Decimal:
+        return Decimal(digit).scaleb(-s - shift)
+
+    listed = F.array(*(F.lit(factor(s)).cast("decimal(20,19)") for s in range(MAX_SCALE + 1)))
+    product = F.when(scale == 8, F.round(value * F.lit(factor(8)), OUTPUT_PLACES).cast("decimal(28,8)"))
+    product = product.when(scale == 2, F.round(value * F.lit(factor(2)), OUTPUT_PLACES).cast("decimal(28,8)"))
+    return product.otherwise(F.round(value * F.get(listed, scale), OUTPUT_PLACES).cast("decimal(28,8)"))
 
 
 def descale(value: Column, scale: Column) -> Column:
-    """``value / 10^scale`` as DECIMAL(28,8), half up. NULL for a scale outside 0..18."""
-    return _times_power(value.cast("decimal(19,0)"), scale, (8, 2), 1)
+    """``value / 10^scale`` as DECIMAL(28,8), half up."""
+    return _times_power(value.cast("decimal(19,0)"), scale, 1, 0)
 
 
 def mid_price(bid: Column, ask: Column, scale: Column) -> Column:
@@ -56,5 +59,4 @@ def mid_price(bid: Column, ask: Column, scale: Column) -> Column:
     Halving a whole number adds one decimal, so multiplying the sum by 5 * 10^-(scale+1) is
     exact and only the final rounding remains.
     """
-    total = bid.cast("decimal(19,0)") + ask.cast("decimal(19,0)")
-    return _times_power(total, scale + 1, (9, 3), 5)
+    return _times_power(bid.cast("decimal(19,0)") + ask.cast("decimal(19,0)"), scale, 5, 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import parse_iso
-from ..functions.fixed_point import MAX_SCALE, descale, mid_price
+from ..functions.fixed_point import MAX_SCALE, mid_price
 from ..schemas import PRICE
 from .monitor import monitor_event
 
@@ -19,18 +19,22 @@ BAD_TIME, BAD_SCALE, NO_PRICE = "bad timestamp", "bad price scale", "no price"
 
 
 def _mapped(quotes: DataFrame, time: Column | None = None) -> DataFrame:
-    """Adds ``time``, ``tick_price`` and ``error``. Binance has no last price, so its mid stands in."""
-    price = F.when(
-        F.col("exchange") == "binance", mid_price(F.col("best_bid"), F.col("best_ask"), F.col("price_scale"))
-    ).otherwise(descale(F.col("price"), F.col("price_scale")))
-    return quotes.withColumns({
-        "time": parse_iso(F.col("timestamp")) if time is None else time, "tick_price": price.cast(PRICE),
-    }).withColumn(
-        "error",
-        F.when(~F.coalesce(F.col("price_scale").between(0, MAX_SCALE), F.lit(False)), BAD_SCALE)
+    """Adds ``time``, ``tick_price`` and ``error``.
+
+    Binance quotes have no last price, so their mid stands in. A last price is the mid of itself twice,
+    which keeps one price expression for both exchanges.
+    """
+    sides = {
+        f"_{side}": F.when(F.col("exchange") == "binance", F.col(side)).otherwise(F.col("price"))
+        for side in ("best_bid", "best_ask")
+    }
+    rows = quotes.withColumns({**sides, "time": parse_iso(F.col("timestamp")) if time is None else time})
+    return rows.withColumns({
+        "tick_price": mid_price(F.col("_best_bid"), F.col("_best_ask"), F.col("price_scale")).cast(PRICE),
+        "error": F.when(~F.coalesce(F.col("price_scale").between(0, MAX_SCALE), F.lit(False)), BAD_SCALE)
         .when(F.col("time").isNull(), BAD_TIME)
-        .when(F.col("tick_price").isNull(), NO_PRICE),
-    )
+        .when(F.col("_best_bid").isNull() | F.col("_best_ask").isNull(), NO_PRICE),
+    })
 
 
 def to_ticks(quotes: DataFrame, keep: list[str] | None = None, time: Column | None = None) -> DataFrame:

@@ -313,7 +313,7 @@ def _from_tier(name: str, source: str, bucket: str, origin: str = "") -> str:
 def _points(name: str, bucket: str = "bucket", where: str = "TRUE") -> str:
     return f"""
   SELECT {bucket} AS bucket, exchange, crypto_pair, CAST(open AS DOUBLE) AS open, CAST(high AS DOUBLE) AS high,
-    CAST(low AS DOUBLE) AS low, CAST(close AS DOUBLE) AS close, round(avg_price, 6) AS avg_price,
+    CAST(low AS DOUBLE) AS low, CAST(close AS DOUBLE) AS close, round(avg_price + 1e-9, 6) AS avg_price,
     CAST(tick_count AS BIGINT) AS tick_count FROM {name} WHERE {where}"""
 
 
@@ -372,7 +372,7 @@ _TICKS = {
     "compare_exchanges": f"""WITH {_FX}, {_DIM}, {_HOURLY},
       hc AS (SELECT h.*, canonical_pair FROM h JOIN dim USING (exchange, crypto_pair))
       SELECT canonical_pair, bucket, CAST(b.close AS DOUBLE) AS binance_close, CAST(c.close AS DOUBLE) AS coinbase_close,
-        round(b.avg_price, 6) AS binance_avg_price, round(c.avg_price, 6) AS coinbase_avg_price,
+        round(b.avg_price + 1e-9, 6) AS binance_avg_price, round(c.avg_price + 1e-9, 6) AS coinbase_avg_price,
         b.tick_count AS binance_tick_count, c.tick_count AS coinbase_tick_count,
         CAST(b.close - c.close AS DOUBLE) AS close_difference
       FROM (SELECT * FROM hc WHERE exchange = 'binance') b JOIN (SELECT * FROM hc WHERE exchange = 'coinbase') c

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -45,9 +45,14 @@ def _plain(rows: DataFrame) -> DataFrame:
     return rows.select(*changed)
 
 
+def _mean(name: str) -> Column:
+    """A mean to six places: engines differ in how many digits one keeps. The nudge takes exact halves
+    off the edge, where a decimal and a binary mean would round apart."""
+    return F.round(F.col(name).cast("double") + 1e-9, 6)
+
+
 def _points(rows: DataFrame) -> DataFrame:
-    """OHLC points with the average rounded: engines differ in how many digits a mean keeps."""
-    return _plain(rows.withColumn("avg_price", F.round(F.col("avg_price").cast("double"), 6)))
+    return _plain(rows.withColumn("avg_price", _mean("avg_price")))
 
 
 def _ticks(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
@@ -271,7 +276,7 @@ def ohlc_history_minute(spark, sf_dir):
 
 def compare_exchanges(spark, sf_dir):
     rows = history.compare_exchanges(_tier(spark, sf_dir, "hourly"))
-    averages = {f"{s}_avg_price": F.round(F.col(f"{s}_avg_price").cast("double"), 6) for s in history.EXCHANGES}
+    averages = {f"{s}_avg_price": _mean(f"{s}_avg_price") for s in history.EXCHANGES}
     return _plain(rows.withColumns(averages))
 
 
