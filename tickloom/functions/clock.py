@@ -16,7 +16,10 @@ ISO_OFFSET_TEXT = (
 
 def parse_iso(text: Column) -> Column:
     """TIMESTAMP of ISO-8601 text with an offset; NULL for anything else."""
-    return F.when(text.rlike(ISO_OFFSET_TEXT), text.try_cast("timestamp"))
+    with_seconds = F.when(F.substring(text, 17, 1) == ":", text).otherwise(
+        F.concat(F.substring(text, 1, 16), F.lit(":00"), F.substring(text, 17, 6))
+    )
+    return F.when(text.rlike(ISO_OFFSET_TEXT), with_seconds.try_cast("timestamp"))
 
 
 def iso_text(ts: Column) -> Column:

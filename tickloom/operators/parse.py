@@ -62,6 +62,11 @@ def _all_present(record: Column, names) -> Column:
     return present
 
 
+def _is_label(text: Column) -> Column:
+    """False where the quick parse may have read a list or an object as its JSON text."""
+    return ~F.substring(text, 1, 1).isin("{", "[")
+
+
 def _texts(problem: Column, fields: dict[str, Column]) -> Column:
     return F.struct(problem.alias("problem"), *(c.alias(n) for n, c in fields.items()))
 
@@ -100,7 +105,7 @@ def _typed(raw: DataFrame, texts: Column, fields: dict[str, Column], numbers: li
 def _binance_texts(quick: Column) -> Column:
     """Field texts of one Binance message, from its quick parse if that found everything."""
     names = [n for n in BINANCE_FIELDS if n != "kind"]
-    whole = quick["corrupt"].isNull() & _all_present(quick, BINANCE_FIELDS)
+    whole = quick["corrupt"].isNull() & _all_present(quick, BINANCE_FIELDS) & _is_label(quick["crypto_pair"])
 
     def careful(parsed: Column) -> Column:
         texts = {n: node_text(parsed, f"$.{BINANCE_FIELDS[n]}") for n in names}
@@ -143,6 +148,7 @@ def _coinbase_texts(quick: Column) -> Column:
     whole = (
         quick[_CORRUPT].isNull() & quick["timestamp"].isNotNull()
         & _all_present(ticker, COINBASE_FIELDS.values())
+        & _is_label(ticker["product_id"]) & _is_label(quick["timestamp"])
     )
     seen = {n: ticker[f] for n, f in COINBASE_FIELDS.items()}
     seen["event_time"] = quick["timestamp"]
