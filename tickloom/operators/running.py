@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_CHUNK = 1_000_000
+DEFAULT_CHUNK = 250_000
 
 
 def chunk_of(order: str, span: int = DEFAULT_CHUNK) -> Column:
-    """Chunk number of an integer order column, at most ``span`` positions each."""
-    return F.expr(f"floor({order} / {span}L)").cast("bigint")
+    """Chunk number of an integer order column, at most ``span`` positions each (twice that around zero)."""
+    return F.expr(f"{order} div {span}L")
 
 
 def _fold(kind: str, value: Column, order: Column) -> Column:
@@ -44,13 +44,13 @@ def running(
 
     Each covers the group's rows up to and including the current one; nulls are skipped. ``order`` must
     be unique within a group and never null, and ``chunk`` must never decrease along it. Rows are shuffled
-    once, by group and chunk. The list of chunks per group is what one task sees whole: one row for
-    each ``span`` rows.
+    once, by group and chunk, for the join and the window alike. The list of chunks per group is what one
+    task sees whole: one row for each ``span`` rows.
     """
     position = F.struct(*order) if len(order) > 1 else F.col(order[0])
     chunked = rows.withColumns({"_chunk": chunk, **{f"_in_{n}": v for n, (_, v) in values.items()}})
 
-    totals = chunked.groupBy(*keys, "_chunk").agg(
+    totals = chunked.groupBy("_chunk", *keys).agg(
         *(_fold(kind, F.col(f"_in_{n}"), position).alias(f"_all_{n}") for n, (kind, _) in values.items())
     )
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,7 +60,8 @@ def running(
     )
 
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = chunked.join(carried, [*keys, "_chunk"], "inner")
+    # One row per chunk to look up: hashing that side spares the rows a sort the window cannot use.
+    joined = chunked.join(carried.hint("shuffle_hash"), [*keys, "_chunk"], "inner")
     return joined.select(
         *rows.columns,
         *(

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import bucket_start, micros
-from .running import running
+from ..session import use_checkpoints
+from .running import chunk_of, running
 from .sizing import broadcast_if_small
 
 # Window and grace of the live feeds.
@@ -34,10 +35,13 @@ def closing_arrivals(
     """``lane, window_start, closed_by`` for the windows that have late rows: rows arriving after
     ``closed_by`` are late."""
     step = timedelta(microseconds=gcd(micros(size), micros(grace)))
+    # Read twice below: kept in the shared folder, so the raw rows are scanned once.
+    use_checkpoints(rows.sparkSession)
     slots = (
         rows.select(lane, arrival, bucket_start(F.col(time_col), step).alias("slot"))
         .groupBy(lane, "slot")
         .agg(F.min(arrival).alias("first_arrival"), F.max(arrival).alias("last_arrival"))
+        .checkpoint()
         .withColumn("window_start", bucket_start(F.col("slot"), size))
         .withColumn("slot_us", F.unix_micros(F.col("slot").cast("timestamp")))
         .withColumn("closes_us", F.unix_micros(F.col("window_start").cast("timestamp")) + micros(size) + micros(grace))
@@ -53,7 +57,7 @@ def closing_arrivals(
                      F.lit(None).cast("bigint").alias("seen")),
         )).alias("mark"),
     ).select(lane, "window_start", "last_arrival", "mark.*")
-    chunk = F.floor(F.col("back") / F.lit(micros(step) * _SLOTS_PER_CHUNK)).cast("bigint")
+    chunk = chunk_of("back", micros(step) * _SLOTS_PER_CHUNK)
     answered = running(marks, [lane], ["back", "asks", "of"], chunk, {"closed_by": ("min", F.col("seen"))})
     return (
         answered.filter(F.col("asks") == 1)
