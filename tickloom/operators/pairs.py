@@ -19,7 +19,9 @@ PAIRS = [
 
 
 def pair_dimension(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PAIRS, "exchange string, crypto_pair string, canonical_pair string")
+    """The pairs as constants of the plan, so Spark knows their size."""
+    values = ", ".join(str(pair) for pair in PAIRS)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS pairs(exchange, crypto_pair, canonical_pair)")
 
 
 def to_canonical(rows: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
