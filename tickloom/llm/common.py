@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import use_checkpoints
 
@@ -29,7 +31,12 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def map_batches(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def with_field(schema: StructType, name: str, kind: str) -> StructType:
+    """A new schema; ``StructType.add`` would change the one that a DataFrame keeps."""
+    return StructType(list(schema.fields)).add(name, kind)
+
+
+def map_batches(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """``work`` on every Arrow batch; batches without an answer give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,3 +70,91 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str, at_least: int) -> Itera
             size = whole.num_rows - cut
     if size:
         yield pa.Table.from_batches(held)
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` written once as Parquet below the shared checkpoint folder, and read from there.
+
+    Unlike a checkpoint, the result has no known partitioning, so a join on it shuffles both sides plainly and
+    AQE may split a hot key.
+    """
+    spark = rows.sparkSession
+    use_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Smallest node reachable from each node of ``edges`` (a, b): columns node, component.
+
+    Alternates the large-star and small-star steps: every node's neighbours are hung on its smallest neighbour
+    until no edge changes. Each step aggregates before it shuffles and keeps no list per node.
+    """
+    def stamp(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    # oriented: a is larger than b
+    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = stamp(edges)
+    while True:
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        # keep an edge's larger end, hung on the smallest node around its smaller or larger end
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stored(large.filter("a <> b").distinct())
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a")
+        small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")) \
+            .unionAll(least.select("a", F.col("m").alias("b")))
+        edges = stored(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        after = stamp(edges)
+        if after == before:
+            break
+        before = after
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
+
+
+def cells(keyed: DataFrame, key: str, row: str, limit: int) -> DataFrame:
+    """Rows of keys that hold at least two rows, dealt to cells of at most about ``2 * limit`` rows: adds cell, part.
+
+    A key of up to ``limit`` rows is one cell. A larger key is cut into parts by a hash of ``row``, and every two
+    parts meet in one cell, so each pair of rows of a key meets in some cell; within a cell of two parts only
+    rows of different ``part`` need comparing.
+    """
+    counts = stored(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    parts = F.ceil(F.col("_n") / limit).cast("int")
+    mine = F.pmod(F.xxhash64(row, F.lit(7)), parts).cast("int")
+    dealt = keyed.join(counts, key).withColumn("part", mine) \
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.withColumn("cell", F.xxhash64(key, F.least("part", "_other"), F.greatest("part", "_other"))) \
+        .withColumn("part", F.when(F.col("part") == F.col("_other"), F.lit(-1)).otherwise(F.col("part"))) \
+        .drop("_n", "_other")
+
+
+def cell_pairs(cell: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers to compare, from rows sorted by cell: all at distance 1, then 2, and so on."""
+    at = np.arange(len(cell))
+    d = 1
+    while True:
+        at = at[at + d < len(cell)]
+        at = at[cell[at] == cell[at + d]]
+        if not len(at):
+            return
+        use = at[(part[at] < 0) | (part[at] != part[at + d])]
+        yield use, use + d
+        d += 1
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest row reachable from each of ``n`` rows by the links a-b."""
+    root = np.arange(n)
+    while True:
+        old = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if np.array_equal(root, old):
+            return root

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, with_field
 
 PER_CLASS, STEPS, L2 = 2000, 120, 1e-3
 
@@ -203,4 +203,4 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int =
             [*(batch.column(n) for n in kept), pa.array(np.concatenate(parts), pa.float64())], [*kept, "quality_score"])
 
     docs = docs.drop("quality_score")
-    return map_batches(docs, work, docs.schema.add("quality_score", "double"))
+    return map_batches(docs, work, with_field(docs.schema, "quality_score", "double"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, with_field
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -161,5 +161,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int =
                                           [*kept, "toxic_score"])
 
     docs = docs.drop("toxic_score")
-    schema = docs.schema.add("toxic_score", "double")
-    return map_batches(docs, work, schema)
+    return map_batches(docs, work, with_field(docs.schema, "toxic_score", "double"))
