@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .quality import quality
+from .simhash import near_duplicates
 from .toxicity import toxicity
 
 
@@ -30,8 +31,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_simhash)}
 
 
 def llm_oracles() -> dict[str, str]:
