@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_chats, read_chats
 from .common import table
+from .decontaminate import contamination
+from .line_dedup import dedup_lines
 from .quality import quality
+from .oracles import ORACLES
 from .simhash import near_duplicates
 from .toxicity import toxicity
 
@@ -23,6 +27,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"),
+                       F.col("n_removed").cast("long").alias("n_removed"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _fold(4) == 2
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,9 +46,30 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                 F.lit("</s>[INST] ok [/INST]").alias("text"))
+    read = read_chats(format_chats(rows.unionByName(hard)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+                       F.length("loss_text").cast("long").alias("loss_chars"),
+                       F.sha2(F.col("loss_text"), 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_simhash)}
+    return {f.__name__: f for f in (
+        op1_toxicity, op2_line_dedup, op3_quality, op4_simhash, op5_decontaminate, op9_chat)}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
