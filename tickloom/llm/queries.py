@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from .line_dedup import dedup_lines
 from .quality import quality
 from .oracles import ORACLES
 from .simhash import near_duplicates
+from .token_file import new_path, read_tokens, write_tokens
 from .toxicity import toxicity
 
 
@@ -53,6 +55,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"),
@@ -68,7 +76,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict:
     return {f.__name__: f for f in (
-        op1_toxicity, op2_line_dedup, op3_quality, op4_simhash, op5_decontaminate, op9_chat)}
+        op1_toxicity, op2_line_dedup, op3_quality, op4_simhash, op5_decontaminate, op8_token_file, op9_chat)}
 
 
 def llm_oracles() -> dict[str, str]:
