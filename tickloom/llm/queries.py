@@ -10,6 +10,7 @@ from .chat import format_chats, read_chats
 from .common import table
 from .decontaminate import contamination
 from .line_dedup import dedup_lines
+from .pieces import SPACE, decode_pieces, encode_pieces
 from .quality import quality
 from .oracles import ORACLES
 from .simhash import near_duplicates
@@ -74,9 +75,19 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    rows = decode_pieces(rows, model)
+    return rows.select("doc_id", F.size("piece_ids").cast("long").alias("n_ids"),
+                       F.sha2(F.array_join(F.transform("piece_ids", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"),
+                       (F.col("decoded") == F.replace("text", F.lit(SPACE), F.lit(" "))).alias("round_trip"))
+
+
 def llm_queries() -> dict:
     return {f.__name__: f for f in (
-        op1_toxicity, op2_line_dedup, op3_quality, op4_simhash, op5_decontaminate, op8_token_file, op9_chat)}
+        op1_toxicity, op2_line_dedup, op3_quality, op4_simhash, op5_decontaminate, op8_token_file, op9_chat,
+        op10_pieces)}
 
 
 def llm_oracles() -> dict[str, str]:
