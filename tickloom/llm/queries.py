@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import contamination
 from .line_dedup import dedup_lines
 from .pieces import SPACE, decode_pieces, encode_pieces
+from .pivots import near_vectors
 from .quality import quality
 from .oracles import ORACLES
 from .simhash import near_duplicates
@@ -56,6 +57,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark)
     write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
@@ -86,7 +92,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict:
     return {f.__name__: f for f in (
-        op1_toxicity, op2_line_dedup, op3_quality, op4_simhash, op5_decontaminate, op8_token_file, op9_chat,
+        op1_toxicity, op2_line_dedup, op3_quality, op4_simhash, op5_decontaminate, op7_pivots, op8_token_file, op9_chat,
         op10_pieces)}
 
 
