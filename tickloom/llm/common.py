@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from ..session import use_checkpoints
 
@@ -33,7 +33,7 @@ def ascii_lower(text: Column) -> Column:
 
 def with_field(schema: StructType, name: str, kind: str) -> StructType:
     """A new schema; ``StructType.add`` would change the one that a DataFrame keeps."""
-    return StructType(list(schema.fields)).add(name, kind)
+    return StructType(list(schema.fields)).add(name, DataType.fromDDL(kind))
 
 
 def map_batches(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
