@@ -15,6 +15,7 @@ from .pivots import near_vectors
 from .quality import quality
 from .oracles import ORACLES
 from .simhash import near_duplicates
+from .substrings import remove_repeats
 from .token_file import new_path, read_tokens, write_tokens
 from .toxicity import toxicity
 
@@ -57,6 +58,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -92,7 +99,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict:
     return {f.__name__: f for f in (
-        op1_toxicity, op2_line_dedup, op3_quality, op4_simhash, op5_decontaminate, op7_pivots, op8_token_file, op9_chat,
+        op1_toxicity, op2_line_dedup, op3_quality, op4_simhash, op5_decontaminate, op6_substrings, op7_pivots, op8_token_file, op9_chat,
         op10_pieces)}
 
 
