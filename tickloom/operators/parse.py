@@ -8,6 +8,7 @@ a null and broken text from text that is valid but no ticker.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -86,9 +87,15 @@ def _any_missing(texts: dict[str, Column]) -> Column:
     return missing
 
 
-def _typed(raw: DataFrame, texts: Column, fields: dict[str, Column], numbers: list[str]) -> DataFrame:
-    """The raw columns, typed ``fields`` of ``texts``, ``reason`` and ``outcome``."""
-    rows = with_once(raw, "_texts", texts)
+def _typed(
+    raw: DataFrame, quick: Column, texts: Callable[[Column], Column], fields: dict[str, Column], numbers: list[str]
+) -> DataFrame:
+    """The raw columns, typed ``fields`` of ``texts``, ``reason`` and ``outcome``.
+
+    The quick parse is a column of its own, so good messages stay in generated code; only the branch for the others
+    holds an interpreted lambda.
+    """
+    rows = with_once(with_once(raw, "_quick", quick), "_texts", texts(F.col("_quick")))
     rows = with_once(
         rows, "_typed", F.struct(F.col("_texts.problem").alias("problem"), *(c.alias(n) for n, c in fields.items()))
     )
@@ -135,7 +142,7 @@ def parse_binance(raw: DataFrame) -> DataFrame:
         "crypto_pair": F.col("_texts.crypto_pair"),
         **{n: scale_text(F.col(f"_texts.{n}"), BINANCE_PRICE_SCALE) for n in numbers},
     }
-    return _typed(raw, let(quick, _binance_texts), fields, numbers).withColumns({
+    return _typed(raw, quick, _binance_texts, fields, numbers).withColumns({
         "timestamp": iso_text(F.col("ingest_ts")),
         "message_id": message_id(F.col("event_time"), F.col("crypto_pair"), F.col("volume")),
         "price_scale": F.lit(BINANCE_PRICE_SCALE),
@@ -187,7 +194,7 @@ def parse_coinbase(raw: DataFrame) -> DataFrame:
         "event_time": F.col("_texts.event_time"),
         "volume": real_number(F.col("_texts.volume")),
     }
-    return _typed(raw, let(quick, _coinbase_texts), fields, prices + quantities).withColumns({
+    return _typed(raw, quick, _coinbase_texts, fields, prices + quantities).withColumns({
         "timestamp": iso_text(F.col("ingest_ts")),
         "message_id": message_id(F.col("event_time"), F.col("crypto_pair"), F.col("volume")),
         "price_scale": F.lit(COINBASE_PRICE_SCALE),
@@ -227,7 +234,7 @@ def dead_letters(parsed: DataFrame) -> DataFrame:
 def ingest_audit(parsed: DataFrame, key: str = "arrival") -> DataFrame:
     """One monitoring event per published ticker or failure; ignored messages leave no trace.
 
-    Ids derive from exchange, position and level, so a retried task writes the same events.
+    Ids derive from exchange, lane, position in the lane and level, so a retried task writes the same events.
     """
     name = F.initcap("exchange")
     loud = parsed.filter(F.col("outcome") != IGNORED)
@@ -236,9 +243,10 @@ def ingest_audit(parsed: DataFrame, key: str = "arrival") -> DataFrame:
         F.concat(name, F.lit("Error: "), F.col("reason"))
     )
     level = F.when(published, F.lit("INFO")).otherwise(F.lit("ERROR"))
+    position = (["lane"] if "lane" in parsed.columns else []) + [key]
     return monitor_event(
         loud, message, level, origin="ingestor", at=F.col("timestamp"),
-        name=F.concat_ws("|", F.col("exchange"), F.col(key).cast("string")),
+        name=F.concat_ws("|", F.col("exchange"), *(F.col(c).cast("string") for c in position)),
     )
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clock import micros
 from ..functions.fixed_point import descale
 from ..functions.ids import pair_of_ids
 from .running import chunk_of, running
+from .throttle import latest_per_key
 
 SPREAD_COLUMNS = [
     "crypto_pair", "message_id", "timestamp", "binance_best_bid", "binance_best_ask",
@@ -27,6 +31,7 @@ def _side(exchange: str, carry: list[str]) -> Column:
 def _spread_rows(sides: DataFrame, keep: list[str], carry: list[str]) -> DataFrame:
     """Spread events from rows holding both quotes; nothing while one is missing."""
     both = sides.filter(F.col("_binance").isNotNull() & F.col("_coinbase").isNotNull())
+    # scales were checked before, so no price is NULL here unless the quote's own was
     prices = {
         f"{side}_{field}": descale(F.col(f"_{side}.{field}"), F.col(f"_{side}.price_scale"))
         for side in ("binance", "coinbase") for field in ("best_bid", "best_ask")
@@ -46,23 +51,48 @@ def _spread_rows(sides: DataFrame, keep: list[str], carry: list[str]) -> DataFra
     )
 
 
+def usable_scale() -> Column:
+    return F.coalesce(F.col("price_scale") >= 0, F.lit(False))
+
+
+def scale_errors(rows: DataFrame) -> DataFrame:
+    """The quotes no spread can be worked out for, with the reason. The spread operators leave them out, so a bad
+    quote neither makes an event without prices nor hides the good one before it."""
+    return rows.filter(~usable_scale()).withColumn("error", F.lit("bad price scale"))
+
+
 def spread_snapshot(rows: DataFrame, arrival: str = "arrival", carry: list[str] | None = None) -> DataFrame:
     """Spread between the latest quote of each side, per canonical pair.
 
-    Both sides' latest rows come out of one aggregation on the canonical pair, so the table-to-table join
-    needs no join at all. ``carry`` names source columns to return for each side.
+    The latest quote per pair and exchange comes from a hashed aggregation; only those few rows are then
+    put side by side. ``carry`` names source columns to return for each side.
     """
     carry = carry or []
-    order = F.col(arrival)
-    sides = rows.groupBy("canonical_pair").agg(
-        *(
-            F.max_by(_side(side, carry), F.when(F.col("exchange") == side, order)).alias(f"_{side}")
-            for side in ("binance", "coinbase")
-        )
-    )
+    needed = dict.fromkeys(["exchange", "canonical_pair", "best_bid", "best_ask", "price_scale", "message_id", "timestamp",
+                            arrival, *carry])
+    latest = latest_per_key(rows.filter(usable_scale()).select(*needed), ["canonical_pair", "exchange"], arrival)
+    sides = latest.groupBy("canonical_pair").agg(
+        *(F.max(_side(side, carry)).alias(f"_{side}") for side in ("binance", "coinbase")))
     return _spread_rows(sides, [], carry)
 
 
+TIME_ORDER = ["ts", "exchange", "lane", "arrival"]
+_TIME_CHUNK = timedelta(minutes=10)
+
+
+def time_chunk(span: timedelta = _TIME_CHUNK) -> Column:
+    """Chunk of ``ts``: never decreases along ``TIME_ORDER``."""
+    return F.expr(f"unix_micros(CAST(ts AS TIMESTAMP)) div {micros(span)}L")
+
+
+def spread_changelog_by_time(
+    rows: DataFrame, keep: list[str] | None = None, carry: list[str] | None = None, span: timedelta = _TIME_CHUNK,
+) -> DataFrame:
+    """``spread_changelog`` for rows of several topics. A position only orders its own lane, so across lanes
+    the record time decides, then exchange, lane and position."""
+    return spread_changelog(rows, TIME_ORDER, time_chunk(span), keep, carry)
+
+
 def spread_changelog(
     rows: DataFrame, order: list[str] | None = None, chunk: Column | None = None,
     keep: list[str] | None = None, carry: list[str] | None = None,
@@ -80,7 +110,7 @@ def spread_changelog(
         *order, *carry, *(keep or []),
     ]))
     sides = running(
-        rows.select(*needed), ["canonical_pair"], order, chunk,
+        rows.filter(usable_scale()).select(*needed), ["canonical_pair"], order, chunk,
         {f"_{side}": ("last", _side(side, carry)) for side in ("binance", "coinbase")},
     )
     return _spread_rows(sides, keep or [], carry)

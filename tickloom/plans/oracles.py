@@ -6,6 +6,8 @@ plan for large data.
 
 from __future__ import annotations
 
+import re
+
 # -- shared views ------------------------------------------------------------------------------
 
 _FX = """
@@ -176,6 +178,19 @@ def _union(template: str) -> str:
     return " UNION ALL ".join(template.format(p=p) for p in ("bp", "cp"))
 
 
+def _second_pass(parsed: str, views: str, first: str) -> str:
+    """The parsing views once more, over the corrected texts of what they could not read."""
+    names = re.findall(r"^(\w+) AS \($", views, re.M)
+    raw = names[names.index(first) - 1]
+    chain = views[views.index(f"{first} AS ("):]
+    for name in names[names.index(first) - 1:]:
+        chain = re.sub(rf"\b{name}\b(?!\.|')", f"{name}_again", chain)
+    return f""",
+{raw}_again AS (SELECT event_id, e.ts, e.event_type, replace(raw, '"x"', '"1"') AS raw
+  FROM {parsed} JOIN events e USING (event_id) WHERE outcome = 'dead_letter'),
+{chain}"""
+
+
 _PARSING = {
     "raw_parse_outcomes": _BOTH + _union(
         " SELECT exchange, outcome, reason, count(*) AS messages FROM {p} GROUP BY ALL"),
@@ -187,18 +202,26 @@ _PARSING = {
         "timestamp", message_id, price_scale, quantity_scale FROM cp WHERE outcome = 'ok'""",
     "dead_letters": _BOTH + _union(
         " SELECT event_id, exchange, raw, reason FROM {p} WHERE outcome = 'dead_letter'"),
-    "dead_letter_replay": _BOTH + _union("""
+    "dead_letter_replay": _BOTH + _second_pass("bp", _BINANCE_RAW, "bj") + _second_pass("cp", _COINBASE_RAW, "cj") + _union("""
       SELECT event_id, exchange,
         CASE outcome WHEN 'ok' THEN 'republished' WHEN 'ignored' THEN 'invalid' ELSE 'failed_again' END AS status,
         CASE outcome WHEN 'ok' THEN 'INFO' ELSE 'ERROR' END AS level,
         CASE outcome WHEN 'ok' THEN '[DLT] Successfully republished message with id ' || message_id
           ELSE '[DLT] Problem with republished message: ' || raw END AS message
-      FROM {p} WHERE event_type = 'error'"""),
+      FROM {p}_again"""),
+    # The long texts are not read back: their values follow from the whole numbers they were made of.
     "fixed_point_scale": f"""
-      WITH t AS (SELECT event_id, CASE event_type
-          WHEN 'view' THEN {_VALUE} WHEN 'click' THEN '-' || {_VALUE} WHEN 'purchase' THEN user_id || 'e-3'
-          WHEN 'error' THEN ' ' || {_VALUE} ELSE user_id || 'x' END AS text FROM events)
-      SELECT event_id, text, coalesce({_scaled('text', 8)}, -1) AS scaled_8, coalesce({_scaled('text', 2)}, -1) AS scaled_2
+      WITH t AS (SELECT event_id, user_id AS u, event_id % 15 AS k, event_id % 9 AS a, lpad(CAST(user_id AS VARCHAR), 9, '0') AS z,
+          CASE event_type WHEN 'view' THEN {_VALUE} WHEN 'click' THEN '-' || {_VALUE} WHEN 'purchase' THEN user_id || 'e-3'
+          WHEN 'error' THEN ' ' || {_VALUE} ELSE user_id || 'x' END AS s FROM events)
+      SELECT event_id, CASE k WHEN 0 THEN a || '.' || z || z || '1234567890123456789e10' WHEN 5 THEN '0.000000000000000001' || z || 'E18'
+          WHEN 10 THEN '-' || u || z || '0000000000000000000000.5e-24' ELSE s END AS text,
+        CASE k WHEN 0 THEN CAST(a AS BIGINT) * 1000000000000000000 + u * 1000000000 + u
+          WHEN 5 THEN (1000000000 + u) // 10
+          WHEN 10 THEN -(u * 1000000000 + u) * 1000000 ELSE coalesce({_scaled('s', 8)}, -1) END AS scaled_8,
+        CASE k WHEN 0 THEN CAST(a AS BIGINT) * 1000000000000 + u * 1000 + u // 1000000
+          WHEN 5 THEN (1000000000 + u) // 10000000
+          WHEN 10 THEN -(u * 1000000000 + u) ELSE coalesce({_scaled('s', 2)}, -1) END AS scaled_2
       FROM t""",
     "message_ids": f"""WITH {_FX}
       SELECT event_id, {_uuid3("event_id || '|' || crypto_pair || '|' || best_bid")} AS binance_style,
@@ -229,6 +252,10 @@ _PARSING = {
 
 # -- windows -----------------------------------------------------------------------------------
 
+# Three lanes per exchange, each in its own shuffled order.
+_LANES = """
+ln AS (SELECT *, event_id // 2 % 3 AS lane, event_id // 6 + (event_id * 37) % 11 AS place FROM tk)"""
+
 _WINDOWS = f"""WITH {_FX},
 cl AS (
   SELECT *, time_bucket(INTERVAL '1 hour', ts) AS window_start,
@@ -249,6 +276,10 @@ _STREAMS = {
         SELECT *, row_number() OVER (PARTITION BY exchange, crypto_pair ORDER BY arrival DESC) AS rn FROM tk)
       WHERE rn = 1""",
     "late_ticks": f"{_WINDOWS} SELECT event_id, exchange, crypto_pair, ts FROM lt WHERE late",
+    "late_ticks_lanes": f"""WITH {_FX}, {_LANES},
+      cl AS (SELECT *, max(ts) OVER (PARTITION BY exchange, lane ORDER BY place, event_id ROWS UNBOUNDED PRECEDING) AS clock FROM ln)
+      SELECT event_id, exchange || '/' || lane AS feed, ts FROM cl
+      WHERE time_bucket(INTERVAL '1 hour', ts) + INTERVAL '70 minutes' <= clock""",
     "throttle_latest": f"{_WINDOWS} SELECT {_LATEST_COLUMNS} FROM last WHERE rn = 1",
     "throttle_closed": f"""{_WINDOWS}
       SELECT {_LATEST_COLUMNS} FROM last JOIN (SELECT exchange, max(ts) AS final FROM tk GROUP BY exchange) USING (exchange)
@@ -281,6 +312,15 @@ _STREAMS["spread_snapshot"] = f"""WITH {_FX}, {_DIM},
   b AS (SELECT * FROM lp WHERE exchange = 'binance'), c AS (SELECT * FROM lp WHERE exchange = 'coinbase')
   {_SPREAD_SELECT.format(keep="")} FROM b JOIN c USING (canonical_pair)"""
 
+_STREAMS["spread_changelog_lanes"] = f"""WITH {_FX}, {_DIM}, {_LANES},
+  up AS (SELECT event_id, canonical_pair,
+      last_value(CASE WHEN exchange = 'binance' THEN event_id END IGNORE NULLS) OVER w AS bid,
+      last_value(CASE WHEN exchange = 'coinbase' THEN event_id END IGNORE NULLS) OVER w AS cid
+    FROM ln JOIN dim USING (exchange, crypto_pair)
+    WINDOW w AS (PARTITION BY canonical_pair ORDER BY ts, exchange, lane, place, event_id ROWS UNBOUNDED PRECEDING))
+  {_SPREAD_SELECT.format(keep="up.event_id AS event_id,")}
+  FROM up JOIN tk b ON b.event_id = up.bid JOIN tk c ON c.event_id = up.cid"""
+
 _STREAMS["spread_changelog"] = f"""WITH {_FX}, {_DIM},
   up AS (SELECT event_id, canonical_pair,
       last_value(CASE WHEN exchange = 'binance' THEN event_id END IGNORE NULLS) OVER w AS bid,
@@ -290,6 +330,8 @@ _STREAMS["spread_changelog"] = f"""WITH {_FX}, {_DIM},
   {_SPREAD_SELECT.format(keep="up.event_id AS event_id,")}
   FROM up JOIN tk b ON b.event_id = up.bid JOIN tk c ON c.event_id = up.cid"""
 
+_STREAMS["relay_spread_json"] = f"SELECT * EXCLUDE (binance_event_id, coinbase_event_id) FROM ({_STREAMS['spread_changelog']})"
+
 # -- ticks and roll-ups ------------------------------------------------------------------------
 
 
@@ -298,7 +340,7 @@ def _from_ticks(name: str, bucket: str, where: str = "TRUE") -> str:
   SELECT time_bucket(INTERVAL '{bucket}', time) AS bucket, exchange, crypto_pair,
     arg_min(price, struct_pack(t := time, m := message_id)) AS open, max(price) AS high, min(price) AS low,
     arg_max(price, struct_pack(t := time, m := message_id)) AS close,
-    CAST(sum(price) AS DOUBLE) / count(*) AS avg_price, count(*) AS tick_count
+    CAST(sum(price) AS DOUBLE) / count(*) AS avg_price, sum(price) AS price_sum, count(*) AS tick_count
   FROM tn WHERE {where} GROUP BY ALL)"""
 
 
@@ -306,7 +348,7 @@ def _from_tier(name: str, source: str, bucket: str, origin: str = "") -> str:
     return f"""{name} AS (
   SELECT time_bucket(INTERVAL '{bucket}', bucket{origin}) AS coarse, exchange, crypto_pair,
     arg_min(open, bucket) AS open, max(high) AS high, min(low) AS low, arg_max(close, bucket) AS close,
-    sum(avg_price * tick_count) / sum(tick_count) AS avg_price, sum(tick_count) AS tick_count
+    CAST(sum(price_sum) AS DOUBLE) / sum(tick_count) AS avg_price, sum(price_sum) AS price_sum, sum(tick_count) AS tick_count
   FROM {source} GROUP BY coarse, exchange, crypto_pair)"""
 
 
@@ -314,7 +356,7 @@ def _points(name: str, bucket: str = "bucket", where: str = "TRUE") -> str:
     return f"""
   SELECT {bucket} AS bucket, exchange, crypto_pair, CAST(open AS DOUBLE) AS open, CAST(high AS DOUBLE) AS high,
     CAST(low AS DOUBLE) AS low, CAST(close AS DOUBLE) AS close, round(avg_price + 1e-9, 6) AS avg_price,
-    CAST(tick_count AS BIGINT) AS tick_count FROM {name} WHERE {where}"""
+    CAST(price_sum AS VARCHAR) AS price_sum, CAST(tick_count AS BIGINT) AS tick_count FROM {name} WHERE {where}"""
 
 
 _HOURLY = _from_ticks("h", "1 hour")
@@ -400,5 +442,5 @@ _MONITORING = {
 
 
 def all_oracles() -> dict[str, str]:
-    """SQL per query name. ``relay_spread_json`` has none: engines print doubles differently."""
+    """SQL per query name."""
     return {**_PARSING, **_STREAMS, **_TICKS, **_MONITORING}

@@ -52,7 +52,8 @@ def _mean(name: str) -> Column:
 
 
 def _points(rows: DataFrame) -> DataFrame:
-    return _plain(rows.withColumn("avg_price", _mean("avg_price")))
+    """Means to six places, and the exact sums they come from as text."""
+    return _plain(rows.withColumns({"avg_price": _mean("avg_price"), "price_sum": F.col("price_sum").cast("string")}))
 
 
 def _ticks(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
@@ -96,15 +97,12 @@ def dead_letters(spark, sf_dir):
 
 
 def dead_letter_replay(spark, sf_dir):
-    """Letters of an outage: every message of type ``error``, broken or not."""
-    letters = [
-        ("binance", views.binance_raw(spark, sf_dir)), ("coinbase", views.coinbase_raw(spark, sf_dir)),
-    ]
-    replays = [
-        parse.replay_dead_letters(raw.filter(F.col("event_type") == "error"), exchange)
-        .select("event_id", "exchange", "status", "level", "message")
-        for exchange, raw in letters
-    ]
+    """All dead letters again, after the unreadable number among them was put right in the stored text."""
+    replays = []
+    for exchange, raw in (("binance", views.binance_raw(spark, sf_dir)), ("coinbase", views.coinbase_raw(spark, sf_dir))):
+        letters = parse.dead_letters(parse.parser_of(exchange)(raw)).select(*raw.columns)
+        letters = letters.withColumn("raw", F.replace("raw", F.lit('"x"'), F.lit('"1"')))
+        replays.append(parse.replay_dead_letters(letters, exchange).select("event_id", "exchange", "status", "level", "message"))
     return replays[0].unionByName(replays[1])
 
 
@@ -118,6 +116,14 @@ def fixed_point_scale(spark, sf_dir):
         .when(F.col("event_type") == "error", F.concat(F.lit(" "), value))
         .otherwise(F.concat(user, F.lit("x")))
     )
+    # every fifth text is long: digits far behind the point that an exponent brings before it
+    lead, tail = (F.col("event_id") % 9).cast("string"), F.lpad(user, 9, "0")
+    text = (
+        F.when(F.col("event_id") % 15 == 0, F.concat(lead, F.lit("."), tail, tail, F.lit("1234567890123456789e10")))
+        .when(F.col("event_id") % 15 == 5, F.concat(F.lit("0.000000000000000001"), tail, F.lit("E18")))
+        .when(F.col("event_id") % 15 == 10, F.concat(F.lit("-"), user, tail, F.lit("0000000000000000000000.5e-24")))
+        .otherwise(text)
+    )
     return views.events(spark, sf_dir).select("event_id", text.alias("text")).select(
         "event_id", "text",
         F.coalesce(scale_text(F.col("text"), 8), F.lit(-1)).alias("scaled_8"),
@@ -172,6 +178,20 @@ def late_ticks(spark, sf_dir):
     return _plain(late.select("event_id", "exchange", "crypto_pair", "ts"))
 
 
+def late_ticks_lanes(spark, sf_dir):
+    """Late rows of feeds with three lanes each, whose positions start over and collide."""
+    rows = views.laned_quotes(spark, sf_dir).withColumn("feed", F.concat_ws("/", "exchange", "lane"))
+    late = throttle.late_rows(rows.select("feed", "event_id", "ts", "arrival"), WINDOW, GRACE, lane="feed")
+    return _plain(late.select("event_id", "feed", "ts"))
+
+
+def spread_changelog_lanes(spark, sf_dir):
+    """Spreads across topics: by record time, then exchange, lane and position in the lane."""
+    return spread.spread_changelog_by_time(
+        to_canonical(views.laned_quotes(spark, sf_dir)), keep=["event_id"], carry=["event_id"]
+    )
+
+
 def spread_snapshot(spark, sf_dir):
     return spread.spread_snapshot(to_canonical(views.quotes(spark, sf_dir)), carry=["event_id"])
 
@@ -306,13 +326,15 @@ def relay_json(spark, sf_dir):
 
 
 def relay_spread_json(spark, sf_dir):
-    return to_relay_json(spread_changelog(spark, sf_dir), schemas.SPREAD_EVENT, ["event_id"])
+    """Spread events as client JSON, read back with the declared layout: the fields a client sees."""
+    sent = to_relay_json(spread_changelog(spark, sf_dir), schemas.SPREAD_EVENT, ["event_id"])
+    return sent.select("event_id", F.from_json("value", schemas.SPREAD_EVENT).alias("m")).select("event_id", "m.*")
 
 
 _NAMED = [
     raw_parse_outcomes, binance_parse, coinbase_parse, dead_letters, dead_letter_replay, fixed_point_scale,
     message_ids, ingest_audit, canonical_ticks, latest_per_pair, throttle_latest, throttle_closed, late_ticks,
-    spread_snapshot, spread_changelog, ticks_normalized, ticks_mapping_errors, ticks_dedupe,
+    late_ticks_lanes, spread_snapshot, spread_changelog, spread_changelog_lanes, ticks_normalized, ticks_mapping_errors, ticks_dedupe,
     ticks_idempotent_append, retention_filter, ohlc_history, ohlc_history_exchange, ohlc_history_daily,
     ohlc_history_minute, compare_exchanges, monitor_valid, monitor_reshape, relay_json, relay_spread_json,
 ]

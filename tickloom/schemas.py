@@ -9,7 +9,9 @@ STRING, LONG, INT, DOUBLE, TIMESTAMP = (
     T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.TimestampType(),
 )
 PRICE = T.DecimalType(28, 8)
-AVERAGE = T.DecimalType(24, 12)
+# Wide enough for the mean of any prices the tick table admits.
+AVERAGE = T.DecimalType(32, 12)
+PRICE_SUM = T.DecimalType(38, 8)
 
 
 def _fields(**columns: T.DataType) -> T.StructType:
@@ -46,7 +48,7 @@ TICK = _fields(time=TIMESTAMP, exchange=STRING, crypto_pair=STRING, price=PRICE,
 
 OHLC = _fields(
     bucket=TIMESTAMP, exchange=STRING, crypto_pair=STRING, open=PRICE, high=PRICE, low=PRICE, close=PRICE,
-    avg_price=AVERAGE, tick_count=LONG,
+    avg_price=AVERAGE, price_sum=PRICE_SUM, tick_count=LONG,
 )
 
 MONITOR_EVENT = _fields(

@@ -58,6 +58,16 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def laned_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``quotes`` dealt to three lanes per exchange. Each lane counts its positions from the start, so the same
+    position stands in every lane, and delivery in a lane is slightly shuffled."""
+    step = F.expr("event_id div 6")
+    jitter = F.pmod(F.col("event_id") * 37, F.lit(_JITTER))
+    return quotes(spark, sf_dir).withColumns({
+        "lane": F.expr("event_id div 2 % 3").cast("int"), "arrival": (step + jitter) * _JITTER + (_JITTER - 1) - jitter,
+    })
+
+
 def faulty_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``quotes`` where some rows carry an unreadable time or a negative scale."""
     return quotes(spark, sf_dir).withColumns({
