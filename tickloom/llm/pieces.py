@@ -24,7 +24,7 @@ from .common import map_batches, with_field
 
 SPACE = "▁"
 NEVER = np.iinfo(np.int64).max
-MEMO, CHARS, PAIRS = 400_000, 4_000_000, 1 << 21
+MEMO, CHARS, PAIRS = 200_000, 2_000_000, 1 << 20
 
 
 def merged(text: str, score: dict[str, float]) -> tuple[list[str], tuple[str, str] | None]:
