@@ -12,6 +12,9 @@ SCALED = [
     ("0.123456789", 8, 12345678), ("-0.5239", 2, -52), ("1e-3", 8, 100000), ("1E2", 2, 10000), ("+7.", 2, 700),
     (".5", 2, 50), ("92233720368.54775807", 8, 2**63 - 1), ("92233720368.54775808", 8, None), ("1e30", 8, None),
     ("", 8, None), ("null", 8, None), (" 1.5", 8, None), ("1.5 ", 8, None), ("1,5", 2, None), ("0x1", 2, None),
+    ("0.12345678901234567890e10", 8, 123456789012345678), ("0.000000000000000001234567891e18", 8, 123456789),
+    ("1234567890123456789012345678901234567890e-30", 8, 123456789012345678), ("-" + "9" * 40 + "E-38", 2, -9999),
+    ("1e99999999999", 8, None), ("0e5", 8, 0), ("1e-2147483647", 8, 0), ("-92233720368547758.08e0", 2, -(2**63)),
     ("0.0099999999999999999999999", 2, 0), ("1.23456789999999999", 8, 123456789), (".", 2, None), ("NaN", 2, None),
 ]
 
@@ -34,9 +37,12 @@ def test_descale_and_mid_round_half_up(spark):
     assert rows[0].d == Decimal("42000.12345678") and rows[3].d == Decimal("0E-8") and rows[5].d == Decimal("0.007")
 
 
-def test_scale_outside_range_gives_null(spark):
-    rows = spark.createDataFrame([(1, -1), (1, 19)], "v bigint, s int").select(descale(F.col("v"), F.col("s")).alias("d"))
-    assert [r.d for r in rows.collect()] == [None, None]
+def test_negative_scale_gives_null_and_large_ones_round(spark):
+    rows = spark.createDataFrame(
+        [(1, -1), (1, 19), (5 * 10**18, 27), (-5 * 10**18, 27), (5 * 10**18 - 1, 27), (2**63 - 1, 19), (2**63 - 1, 400)], "v bigint, s int",
+    ).select(descale(F.col("v"), F.col("s")).alias("d"))
+    unit = Decimal("0.00000001")
+    assert [r.d for r in rows.collect()] == [None, 0, unit, -unit, 0, Decimal("0.92233720"), 0]
 
 
 def test_name_uuid_is_version_three(spark):

@@ -96,6 +96,54 @@ def test_rebuilt_tiers_agree_with_ticks_and_serve_history(store, ticks):
     assert compared.count() == 1724 and compared.agg(F.sum("close_difference")).first()[0] == Decimal("-2420.04998276")
 
 
+def test_points_whose_ticks_are_gone_go_too(store, ticks):
+    day = ticks.filter(F.to_date("time") == date(2024, 1, 15))
+    store.append_ticks(day)
+    span = utc(2024, 1, 15), utc(2024, 1, 16)
+    store.rebuild_tier("hourly", *span)
+    store.rebuild_tier("minute", *span)
+    assert store.read_tier(TIERS["hourly"]).count() > 0 and store.read_tier(TIERS["minute"]).count() > 0
+    store.apply_retention(utc(2024, 4, 1))
+    store.rebuild_tier("hourly", *span)
+    store.rebuild_tier("minute", *span)
+    assert store.read_tier(TIERS["hourly"]).count() == store.read_tier(TIERS["minute"]).count() == 0
+
+
+def test_rebuild_leaves_unchanged_folders_alone(store, ticks):
+    store.append_ticks(ticks.filter(F.col("time") < "2024-01-04"))
+    span = utc(2024, 1, 1), utc(2024, 1, 4)
+    store.rebuild_tier("hourly", *span)
+    files = set(store.read_tier(TIERS["hourly"]).inputFiles())
+    more = ticks.filter(F.col("time") < "2024-01-02").limit(1).withColumn("message_id", F.lit("new"))
+    store.append_ticks(more)
+    store.rebuild_tier("hourly", *span)
+    after = set(store.read_tier(TIERS["hourly"]).inputFiles())
+    assert {f for f in files if "date=2024-01-01" not in f} == {f for f in after if "date=2024-01-01" not in f}
+    assert not {f for f in files & after if "date=2024-01-01" in f}
+
+
+def test_append_reads_only_the_batch_time_range(store, ticks):
+    store.append_ticks(ticks.filter(F.col("time") < "2024-01-03"))
+    batch = ticks.filter((F.col("time") >= "2024-01-02 03:00:00") & (F.col("time") < "2024-01-02 04:00:00"))
+    plan = store._stored_beside(batch)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(time," in plan and ">= 2024-01-02 03:" in plan and "PartitionFilters: [isnotnull(date" in plan
+
+
+def test_the_largest_price_passes_every_tier(spark, store):
+    from tickloom.operators.ticks import to_ticks
+
+    top = 2**63 - 1
+    quotes = spark.createDataFrame(
+        [("coinbase", "P", top, top, top, 0, f"2024-01-01T00:0{i}:00Z", f"m{i}", i) for i in range(5)],
+        "exchange string, crypto_pair string, best_bid bigint, best_ask bigint, price bigint, price_scale int, timestamp string, message_id string, arrival bigint")
+    store.append_ticks(to_ticks(quotes, ["arrival"]))
+    for name in refresh_order():
+        store.rebuild_tier(name, utc(2023, 12, 25), utc(2024, 1, 8))
+        points = store.read_tier(TIERS[name]).collect()
+        assert sum(p.tick_count for p in points) == 5 and sum(p.price_sum for p in points) == 5 * top
+        assert all(p.avg_price == top and p.high == top for p in points)
+
+
 def test_weighted_mean_is_not_a_mean_of_means(spark):
     points = spark.createDataFrame(
         [(datetime(2024, 1, 1, h), "binance", "P", Decimal(a), Decimal(a), Decimal(a), Decimal(a), Decimal(a), n) for h, a, n in ((0, 1, 1), (1, 4, 2))],

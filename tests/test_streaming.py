@@ -11,13 +11,14 @@ from tickloom.operators.monitor import read_monitor_json, reshape_monitor
 from tickloom.operators.pairs import to_canonical
 from tickloom.operators.parse import parse_raw
 from tickloom.operators.relay import to_relay_json
-from tickloom.operators.spread import spread_changelog
+from tickloom.operators.spread import spread_changelog_by_time
+from tickloom.operators.throttle import throttle_closed
 from tickloom.operators.ticks import to_ticks
 from tickloom.plans.store import TickStore
 from tickloom.sinks import keyed_records, write_labelled_logs, write_micro_batch
 from tickloom.sources import event_views as views
-from tickloom.sources.feeds import kafka_options, read_raw_text, read_table, stream_table
-from tickloom.streaming.jobs import SpreadStream, ingest_batch, start, tick_batch
+from tickloom.sources.feeds import kafka_options, read_raw_text, read_table, stream_raw_text, stream_table
+from tickloom.streaming.jobs import SpreadStream, ThrottleStream, ingest_batch, start, tick_batch
 from tickloom.streaming.windows import dedupe_stream, throttle_stream
 
 T0 = datetime(2024, 1, 1)
@@ -26,12 +27,13 @@ T0 = datetime(2024, 1, 1)
 @pytest.fixture
 def quote_files(spark, tmp_path):
     """Quotes of the smallest data set as six files, delivered in order."""
-    rows = views.quotes(spark, "/root/testdata/sf0.001").select(
+    rows = views.laned_quotes(spark, "/root/testdata/sf0.001").select(
         *(F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.QUOTE.fields)
     ).persist()
-    step = rows.agg(F.max("arrival")).first()[0] // 6 + 1
+    first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    step = (last - first) // 6 + 1
     for i in range(6):
-        part = rows.filter((F.col("arrival") >= i * step) & (F.col("arrival") < (i + 1) * step))
+        part = rows.filter(F.floor((F.unix_micros("ts") - first) / step) == i)
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "quotes"))
     return str(tmp_path / "quotes"), rows
 
@@ -57,8 +59,9 @@ def test_spread_stream_equals_changelog_and_survives_reruns(spark, quote_files,
 
     start(stream_table(spark, path, schemas.QUOTE, 1), twice, str(tmp_path / "cp")).awaitTermination(240)
     assert len(calls) == 6
+    assert len(list((tmp_path / "out" / "spread_state").glob("batch_id=*"))) <= 3
     got = spark.read.parquet(str(tmp_path / "out" / "spread")).drop("batch_id")
-    want = spread_changelog(to_canonical(rows), keep=["arrival"])
+    want = spread_changelog_by_time(to_canonical(rows), keep=["exchange", "lane", "arrival"])
     columns = sorted(want.columns)
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
 
@@ -86,13 +89,13 @@ def test_ingest_stream_writes_every_output(spark, tmp_path):
     stream = stream_table(spark, str(tmp_path / "raw"), schemas.RAW_PAYLOAD, 1)
     start(stream, ingest_batch("coinbase", str(tmp_path / "out")), str(tmp_path / "cp")).awaitTermination(240)
     want = parse_raw(raw, "coinbase")
-    for name, df in (("tickers", want.ok), ("quotes", want.ok), ("dead_letters", want.dead_letters), ("audit", want.audit)):
+    for name, df in (("tickers", want.ok), ("quotes", want.ok), ("keyed", want.ok), ("dead_letters", want.dead_letters), ("audit", want.audit)):
         assert spark.read.parquet(str(tmp_path / "out" / f"{name}_coinbase")).count() == df.count() > 0
 
 
 def test_throttle_stream_emits_closed_windows_once(spark, tmp_path):
     def row(pair, ms, n):
-        return ("binance", pair, 1, 2, None, 8, "t", f"m{n}", n, T0 + timedelta(milliseconds=ms))
+        return ("binance", pair, 1, 2, None, 8, "t", f"m{n}", "0", n, T0 + timedelta(milliseconds=ms))
 
     batches = [
         [row("A", 10, 0), row("A", 400, 1), row("A", 300, 2), row("B", 450, 3)],
@@ -107,6 +110,54 @@ def test_throttle_stream_emits_closed_windows_once(spark, tmp_path):
     assert got == [("A", 0, "m2"), ("A", 500, "m4"), ("B", 0, "m3"), ("B", 2500, "m5")]
 
 
+def test_spread_pairs_by_record_time_across_topics(spark, tmp_path):
+    """Topics with positions of their own: b1 c1 b2 c2 gives three events, none with a price from the future."""
+    def quote(exchange, pair, n, second):
+        return (exchange, pair, 1, 2, 1, 2, f"t{second}", f"{exchange[0]}{n}", "0", n, T0 + timedelta(seconds=second))
+
+    rows = [quote("binance", "BTCUSDT", 1000, 1), quote("coinbase", "BTC-USDT", 1, 2),
+            quote("binance", "BTCUSDT", 1001, 3), quote("coinbase", "BTC-USDT", 2, 4)]
+    job = SpreadStream(str(tmp_path / "out"))
+    job(spark.createDataFrame(rows[:3], schemas.QUOTE), 0)
+    job(spark.createDataFrame(rows[3:], schemas.QUOTE), 1)
+    events = spark.read.parquet(str(tmp_path / "out" / "spread")).orderBy("timestamp").collect()
+    assert [e.timestamp for e in events] == ["t2", "t3", "t4"]
+
+
+def test_exact_throttle_keeps_a_lagging_lane(spark, tmp_path):
+    """One exchange 40 seconds behind the other over many batches: all its windows come out."""
+    def quote(exchange, n):
+        late = 40_000 if exchange == "coinbase" else 0
+        ms = n * 700 - late - (1700 if n % 7 == 3 else 0)
+        return (exchange, "AB"[n % 2], 1, 2, 1, 8, "t", f"{exchange}{n}", "0", n, T0 + timedelta(milliseconds=ms))
+
+    rows = [quote(e, n) for n in range(48) for e in ("binance", "coinbase")]
+    for i in range(8):
+        part = spark.createDataFrame(rows[i * 12:(i + 1) * 12], schemas.QUOTE)
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "q"))
+    job = ThrottleStream(str(tmp_path / "out"))
+
+    def twice(batch, batch_id):
+        job(batch, batch_id)
+        job(batch, batch_id)
+
+    start(stream_table(spark, str(tmp_path / "q"), schemas.QUOTE, 1), twice, str(tmp_path / "cp")).awaitTermination(240)
+    got = spark.read.parquet(str(tmp_path / "out" / "latest")).drop("batch_id")
+    want = throttle_closed(spark.createDataFrame(rows, schemas.QUOTE))
+    columns = sorted(want.columns)
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert got.filter("exchange = 'coinbase'").count() > 30
+
+
+def test_raw_text_stream_has_stable_positions(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        (tmp_path / "in" / f"{name}.txt").write_text("".join(f'{{"n":{i}}}\n' for i in range(5)))
+    drain(stream_raw_text(spark, str(tmp_path / "in"), "binance", 1), str(tmp_path / "out"), str(tmp_path / "cp"))
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.lane[-5:], r.arrival, r.raw) for r in rows) == [(f"{f}.txt", i, f'{{"n":{i}}}') for f in "ab" for i in range(5)]
+
+
 def test_dedupe_stream(spark, tmp_path):
     rows = [(T0 + timedelta(seconds=i % 4), "binance", "P", None, f"m{i % 4}") for i in range(12)]
     spark.createDataFrame(rows, "time timestamp, exchange string, crypto_pair string, price decimal(28,8), message_id string").repartition(3).write.parquet(str(tmp_path / "t"))
@@ -130,6 +181,7 @@ def test_relay_json_and_keys(spark):
 def test_labelled_logs_and_folders(spark, tmp_path):
     lines = reshape_monitor(read_monitor_json(views.monitor_messages(spark, "/root/testdata/sf0.001").drop("event_id"))).filter("level is not null")
     write_labelled_logs(lines, str(tmp_path / "logs"))
+    write_labelled_logs(lines, str(tmp_path / "logs"))  # the same batch again
     back = spark.read.json(str(tmp_path / "logs"))
     assert back.count() == lines.count() and {"service_name", "level", "environment"} <= set(back.columns)
     write_micro_batch(lines, str(tmp_path / "m"), 0)

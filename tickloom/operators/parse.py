@@ -286,7 +286,8 @@ def as_quotes(parsed: DataFrame, exchange: str) -> DataFrame:
             "best_bid": F.col("best_bid_price"), "best_ask": F.col("best_ask_price"),
             "price": F.lit(None).cast("bigint"),
         })
+    lane = F.col("lane") if "lane" in rows.columns else F.lit("0")
     return rows.select(
         "exchange", "crypto_pair", "best_bid", "best_ask", "price", "price_scale", "timestamp",
-        "message_id", "arrival", F.col("ingest_ts").alias("ts"),
+        "message_id", lane.alias("lane"), "arrival", F.col("ingest_ts").alias("ts"),
     )

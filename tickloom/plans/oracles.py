@@ -229,7 +229,7 @@ _PARSING = {
         {_uuid3("message_id")} AS plain FROM tk""",
     "ingest_audit": _BOTH + _union("""
       SELECT message, level, "timestamp", 'ingestor' AS "serviceName", """
-        + _uuid3("exchange || '|' || event_id || '|ingestor|' || level") + """ AS "messageId"
+        + _uuid3("exchange || '|' || event_id % 3 || '|' || event_id || '|ingestor|' || level") + """ AS "messageId"
       FROM (SELECT event_id, exchange, "timestamp",
           CASE outcome WHEN 'ok' THEN 'INFO' ELSE 'ERROR' END AS level,
           upper(substr(exchange, 1, 1)) || substr(exchange, 2) ||

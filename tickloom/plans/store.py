@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
@@ -15,14 +16,13 @@ from ..functions.clock import as_utc, ts_literal
 from ..operators.ohlc import OHLC_COLUMNS
 from ..operators.ticks import TICK_COLUMNS, first_copies, new_ticks, within
 from ..schemas import OHLC, TICK
+from ..session import use_checkpoints
 from .tiers import RETENTION_MONTHS, TIERS, Tier, check_policy, refresh_order
 
 # Fixed value: number of hash partitions of the tick table next to its day partitions.
 PAIR_BUCKETS = 4
 # Folder column of a tier -> its date format, in Spark's and in Python's notation.
-_FOLDERS = {"date": ("yyyy-MM-dd", "%Y-%m-%d"), "month": ("yyyy-MM", "%Y-%m"), "year": ("yyyy", "%Y")}
-# A batch touching more days than this reads its span of days instead of the listed ones.
-_LISTED_DAYS = 400
+_FOLDERS = {"hour": ("yyyy-MM-dd-HH", "%Y-%m-%d-%H"), "date": ("yyyy-MM-dd", "%Y-%m-%d"), "month": ("yyyy-MM", "%Y-%m"), "year": ("yyyy", "%Y")}
 
 TICKS_ON_DISK = T.StructType(
     [*TICK.fields, T.StructField("date", T.StringType()), T.StructField("pair_bucket", T.IntegerType())]
@@ -91,20 +91,16 @@ class TickStore:
             ticks = ticks.filter((F.col("pair_bucket") == pair_bucket_of(pair)) & (F.col("crypto_pair") == pair))
         return ticks.select(*TICK_COLUMNS)
 
-    def _stored_on_days_of(self, batch: DataFrame) -> DataFrame:
-        """Stored ticks of the days the batch touches. The day is part of the key, so no other can match.
-        What is collected is one short row per calendar day."""
-        days = (
-            batch.select(F.date_format("time", "yyyy-MM-dd").alias("d")).distinct()
-            .orderBy("d").limit(_LISTED_DAYS + 1).collect()
-        )
+    def _stored_beside(self, batch: DataFrame) -> DataFrame:
+        """Stored ticks between the batch's first and last time. The time is part of the key, so no other can match; the day
+        prunes folders and the time prunes within them, as files are sorted by it."""
+        low, high = batch.agg(*(f("time").cast("timestamp").cast("string") for f in (F.min, F.max))).first()
         stored = self._read(self.ticks_path, TICKS_ON_DISK)
-        if len(days) > _LISTED_DAYS:
-            low, high = batch.agg(
-                F.date_format(F.min("time"), "yyyy-MM-dd"), F.date_format(F.max("time"), "yyyy-MM-dd")
-            ).first()
-            return stored.filter(F.col("date").between(low, high))
-        return stored.filter(F.col("date").isin([r.d for r in days]))
+        if low is None:
+            return stored.limit(0)
+        return stored.filter(
+            F.col("date").between(low[:10], high[:10])
+            & F.col("time").between(F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp")))
 
     def append_ticks(self, batch: DataFrame, order: str = "arrival") -> None:
         """Add the ticks of a batch whose key is not stored yet. Running it again adds nothing.
@@ -112,7 +108,7 @@ class TickStore:
         The rebalance hint sizes files by data, cutting a hot day or pair into several, which a fixed
         number of writers per pair would not.
         """
-        fresh = new_ticks(batch, self._stored_on_days_of(batch), order).select(*TICK_COLUMNS)
+        fresh = new_ticks(batch, self._stored_beside(batch), order).select(*TICK_COLUMNS)
         (
             fresh.withColumns({"date": F.date_format("time", "yyyy-MM-dd"), "pair_bucket": pair_bucket(F.col("crypto_pair"))})
             .hint("rebalance", "date", "pair_bucket")
@@ -177,28 +173,40 @@ class TickStore:
     def rebuild_tier(self, tier_name: str, start: datetime, end: datetime) -> None:
         """Recompute the buckets in ``[start, end)`` from the tier's source.
 
-        Buckets of a touched folder outside the range are written back as they are, and only touched
-        folders are replaced. Spark stages all new files before it removes the old ones, so reading the
-        folders that are about to be replaced is safe.
+        Buckets of a touched folder outside the range are written back as they are. Only folders whose points change
+        are written, and a touched folder that no point is left for is removed, so a bucket whose ticks are gone
+        is gone too. Spark stages all new files before it removes the old ones, so reading the folders that
+        are about to be replaced is safe; the job may run again at any point.
         """
         tier = TIERS[tier_name]
-        folder = F.date_format("bucket", _FOLDERS[tier.partition][0])
-        fresh = tier.build(self._source(tier, start, end)).withColumn(tier.partition, folder)
         fmt = _FOLDERS[tier.partition][1]
         last = end - timedelta(microseconds=1)
-        kept = self._tier_on_disk(tier).filter(
-            F.col(tier.partition).between(start.strftime(fmt), last.strftime(fmt))
-            & ~within(F.col("bucket"), ts_literal(start), ts_literal(end))
-        )
-        rows = fresh.select(*OHLC_COLUMNS, tier.partition).unionByName(
-            kept.select(*OHLC_COLUMNS, tier.partition)
-        )
-        (
-            rows.hint("rebalance", tier.partition)
-            .sortWithinPartitions(tier.partition, "crypto_pair", "exchange", "bucket")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(tier.partition).parquet(self.tier_path(tier))
-        )
+        touched = F.col(tier.partition).between(start.strftime(fmt), last.strftime(fmt))
+        former = self._tier_on_disk(tier).filter(touched)
+        folder = F.date_format("bucket", _FOLDERS[tier.partition][0])
+        columns = [*OHLC_COLUMNS, tier.partition]
+        kept = former.filter(~within(F.col("bucket"), ts_literal(start), ts_literal(end)))
+        fresh = tier.build(self._source(tier, start, end)).withColumn(tier.partition, folder)
+        use_checkpoints(self.spark)
+        rows = fresh.select(*columns).unionByName(kept.select(*columns)).checkpoint()  # compared, then written
+        # one short row per folder of the range passes through the driver
+        stamp = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*OHLC_COLUMNS).cast("decimal(38,0)")).alias("h")]
+        new = {r[0]: tuple(r[1:]) for r in rows.groupBy(tier.partition).agg(*stamp).collect()}
+        old = {r[0]: tuple(r[1:]) for r in former.groupBy(tier.partition).agg(*stamp).collect()}
+        changed = sorted(f for f in new if new[f] != old.get(f))
+        if changed:
+            (
+                rows.filter(F.col(tier.partition).isin(changed)).hint("rebalance", tier.partition)
+                .sortWithinPartitions(tier.partition, "crypto_pair", "exchange", "bucket")
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy(tier.partition).parquet(self.tier_path(tier))
+            )
+        self._remove(f"{self.tier_path(tier)}/{tier.partition}={f}" for f in old if f not in new)
+
+    def _remove(self, folders: Iterable[str]) -> None:
+        for folder in folders:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def refresh_all(self, now: datetime) -> None:
         """Refresh every tier, sources first."""

@@ -53,11 +53,11 @@ class Tier:
 TIERS = {
     t.name: t
     for t in (
-        Tier("minute", "ticks", MINUTE, timedelta(minutes=30), timedelta(minutes=1), timedelta(minutes=1), "date"),
+        Tier("minute", "ticks", MINUTE, timedelta(minutes=30), timedelta(minutes=1), timedelta(minutes=1), "hour"),
         Tier("30min", "minute", HALF_HOUR, timedelta(hours=3), timedelta(minutes=5), timedelta(minutes=5), "date"),
         Tier("hourly", "ticks", HOUR, timedelta(hours=3), timedelta(minutes=10), timedelta(minutes=10), "date"),
         Tier("daily", "hourly", DAY, timedelta(days=3), timedelta(hours=1), timedelta(hours=1), "month"),
-        Tier("weekly", "daily", WEEK, timedelta(days=21), timedelta(days=1), timedelta(days=1), "year", MONDAY),
+        Tier("weekly", "daily", WEEK, timedelta(days=21), timedelta(days=1), timedelta(days=1), "month", MONDAY),
     )
 }
 

@@ -18,7 +18,8 @@ def _fields(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
-RAW_PAYLOAD = _fields(exchange=STRING, raw=STRING, arrival=LONG, ingest_ts=TIMESTAMP)
+# ``arrival`` orders the messages of one ``lane``: a topic partition or a landed file.
+RAW_PAYLOAD = _fields(exchange=STRING, raw=STRING, lane=STRING, arrival=LONG, ingest_ts=TIMESTAMP)
 
 BINANCE_TICKER = _fields(
     event_time=LONG, crypto_pair=STRING, best_bid_price=LONG, best_bid_qty=LONG, best_ask_price=LONG,
@@ -35,7 +36,7 @@ COINBASE_TICKER = _fields(
 # so every later step is a single plan instead of one per exchange.
 QUOTE = _fields(
     exchange=STRING, crypto_pair=STRING, best_bid=LONG, best_ask=LONG, price=LONG, price_scale=INT,
-    timestamp=STRING, message_id=STRING, arrival=LONG, ts=TIMESTAMP,
+    timestamp=STRING, message_id=STRING, lane=STRING, arrival=LONG, ts=TIMESTAMP,
 )
 
 SPREAD_EVENT = _fields(

@@ -2,25 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.monitor import LABELS
 
 
+def _folders(spark: SparkSession, path: str) -> list[tuple[int, object, object]]:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return []
+    found = []
+    for status in fs.listStatus(hadoop):
+        name = status.getPath().getName()
+        if name.startswith("batch_id="):
+            found.append((int(name.removeprefix("batch_id=")), fs, status.getPath()))
+    return found
+
+
+def drop_batches(spark: SparkSession, path: str, unwanted: Callable[[int], bool]) -> None:
+    """Remove the folders of the batches that ``unwanted`` names. Only folder names pass through the driver."""
+    for batch_id, fs, folder in _folders(spark, path):
+        if unwanted(batch_id):
+            fs.delete(folder, True)
+
+
+def batch_path(rows: DataFrame, path: str, batch_id: int) -> str:
+    """Folder of one micro-batch. Batch 0 begins a stream anew, so folders an earlier run left behind go first."""
+    if batch_id == 0:
+        drop_batches(rows.sparkSession, path, lambda n: n > 0)
+    return f"{path}/batch_id={batch_id}"
+
+
 def write_micro_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """One folder per micro-batch, replaced whole: a batch that runs again leaves no second copy."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    rows.write.mode("overwrite").parquet(batch_path(rows, path, batch_id))
 
 
-def write_labelled_logs(lines: DataFrame, path: str) -> None:
-    """Log lines in folders by the few indexed labels. The rebalance hint splits a label that most lines share."""
+def write_labelled_logs(lines: DataFrame, path: str, batch_id: int = 0) -> None:
+    """Log lines of one batch in folders by the few indexed labels; the batch's folder is replaced whole. The rebalance
+    hint splits a label that most lines share."""
     (
         lines.withColumn("metadata", F.to_json("metadata"))
-        .hint("rebalance", *LABELS).write.mode("append").partitionBy(*LABELS).json(path)
+        .hint("rebalance", *LABELS).write.mode("overwrite").partitionBy(*LABELS).json(batch_path(lines, path, batch_id))
     )
 
 
 def keyed_records(rows: DataFrame, key: str, value: str = "value") -> DataFrame:
     """Key and value for a message bus: equal keys share a partition, which keeps their order."""
-    return rows.select(F.col(key).cast("string").alias("key"), F.col(value).alias("value"))
+    return rows.select(F.col(key).cast("string").alias("key"), F.col(value).alias("value")).repartition("key")

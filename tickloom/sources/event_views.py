@@ -55,6 +55,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(binance, 8).otherwise(2).alias("price_scale"),
         iso_text(F.col("ts")).alias("timestamp"),
         F.md5(F.col("event_id").cast("string")).alias("message_id"),
+        F.lit("0").alias("lane"),
     )
 
 
@@ -64,7 +65,7 @@ def laned_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.expr("event_id div 6")
     jitter = F.pmod(F.col("event_id") * 37, F.lit(_JITTER))
     return quotes(spark, sf_dir).withColumns({
-        "lane": F.expr("event_id div 2 % 3").cast("int"), "arrival": (step + jitter) * _JITTER + (_JITTER - 1) - jitter,
+        "lane": F.expr("event_id div 2 % 3").cast("string"), "arrival": (step + jitter) * _JITTER + (_JITTER - 1) - jitter,
     })
 
 
@@ -107,7 +108,7 @@ def binance_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(ticker)
     )
     return events(spark, sf_dir).select(
-        "event_id", F.lit("binance").alias("exchange"), raw.alias("raw"),
+        "event_id", F.lit("binance").alias("exchange"), raw.alias("raw"), (eid % 3).cast("string").alias("lane"),
         _arrival().alias("arrival"), F.col("ts").alias("ingest_ts"), "event_type",
     )
 
@@ -147,7 +148,7 @@ def coinbase_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(message(F.concat(F.lit("["), usual, F.lit("]"))))
     )
     return events(spark, sf_dir).select(
-        "event_id", F.lit("coinbase").alias("exchange"), raw.alias("raw"),
+        "event_id", F.lit("coinbase").alias("exchange"), raw.alias("raw"), (eid % 3).cast("string").alias("lane"),
         _arrival().alias("arrival"), F.col("ts").alias("ingest_ts"), "event_type",
     )
 

@@ -21,15 +21,27 @@ def stream_table(
     return reader.parquet(path)
 
 
-def read_raw_text(spark: SparkSession, path: str, exchange: str) -> DataFrame:
-    """Landed raw messages, one JSON text per line, in the raw payload layout. The landing file's change
-    time stands for ingest time; use the message bus reader where order across files matters."""
-    lines = spark.read.text(path).select("value", "_metadata.file_modification_time", "_metadata.file_path")
-    return lines.select(
-        F.lit(exchange).alias("exchange"), F.col("value").alias("raw"),
-        F.monotonically_increasing_id().alias("arrival"),
-        F.col("file_modification_time").alias("ingest_ts"),
+def _raw_lines(files: DataFrame, exchange: str) -> DataFrame:
+    """One row per line of landed text files. The file is the lane and the line number the position in it, however the
+    files are read; the landing file's change time stands for ingest time."""
+    lines = files.select(
+        F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), "\r?\n")).alias("arrival", "raw"),
+        F.col("_metadata.file_path").alias("lane"), F.col("_metadata.file_modification_time").alias("ingest_ts"),
     )
+    return lines.select(F.lit(exchange).alias("exchange"), "raw", "lane", F.col("arrival").cast("bigint").alias("arrival"), "ingest_ts")
+
+
+def read_raw_text(spark: SparkSession, path: str, exchange: str) -> DataFrame:
+    """Landed raw messages, one JSON text per line, in the raw payload layout. A file is read by one task."""
+    return _raw_lines(spark.read.text(path, wholetext=True), exchange)
+
+
+def stream_raw_text(spark: SparkSession, path: str, exchange: str, files_per_batch: int | None = None) -> DataFrame:
+    """``read_raw_text`` as a stream over the files of a folder."""
+    reader = spark.readStream
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return _raw_lines(reader.text(path, wholetext=True), exchange)
 
 
 def kafka_options(servers: str, topic: str, max_offsets: int | None = None) -> dict[str, str]:
@@ -48,12 +60,12 @@ def stream_kafka(spark: SparkSession, options: dict[str, str]) -> DataFrame:
 
 def kafka_records(records: DataFrame) -> DataFrame:
     return records.select(
-        F.col("key").cast("string").alias("key"), "value", F.col("partition").alias("lane"),
+        F.col("key").cast("string").alias("key"), "value", F.col("partition").cast("string").alias("lane"),
         F.col("offset").alias("arrival"), F.col("timestamp").alias("ingest_ts"),
     )
 
 
 def raw_from_kafka(records: DataFrame, exchange: str) -> DataFrame:
     return records.select(
-        F.lit(exchange).alias("exchange"), F.col("value").cast("string").alias("raw"), "arrival", "ingest_ts"
+        F.lit(exchange).alias("exchange"), F.col("value").cast("string").alias("raw"), "lane", "arrival", "ingest_ts"
     )

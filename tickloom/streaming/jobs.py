@@ -8,20 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.pairs import to_canonical
 from ..operators.parse import TICKER_COLUMNS, as_quotes, dead_letters, ingest_audit, parser_of
-from ..operators.running import chunk_of
-from ..operators.spread import spread_changelog
+from ..operators.relay import to_relay_json
+from ..operators.spread import TIME_ORDER, scale_errors, spread_changelog, time_chunk, usable_scale
+from ..operators.throttle import GRACE, WINDOW, drop_late, is_closed, latest_per_key
 from ..operators.ticks import mapping_audit, mapping_errors, to_ticks
 from ..plans.store import TickStore
-from ..sinks import write_micro_batch
+from ..schemas import BINANCE_TICKER, COINBASE_TICKER
+from ..sinks import drop_batches, keyed_records, write_micro_batch
 
 Batch = Callable[[DataFrame, int], None]
+TICKER_SCHEMAS = {"binance": BINANCE_TICKER, "coinbase": COINBASE_TICKER}
 
 
 def start(stream: DataFrame, batch: Batch, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -31,13 +35,15 @@ def start(stream: DataFrame, batch: Batch, checkpoint: str, available_now: bool
 
 
 def ingest_batch(exchange: str, root: str) -> Batch:
-    """Raw messages to quotes, tickers, dead letters and audit events. The parse runs once for all four."""
+    """Raw messages to quotes, tickers, records keyed by pair, dead letters and audit events. The parse runs once for all."""
 
     def run(raw: DataFrame, batch_id: int) -> None:
         parsed = parser_of(exchange)(raw).persist()
         try:
-            ok = parsed.filter(F.col("outcome") == "ok").select("exchange", "arrival", *TICKER_COLUMNS[exchange])
+            ok = parsed.filter(F.col("outcome") == "ok").select("exchange", "lane", "arrival", *TICKER_COLUMNS[exchange])
             write_micro_batch(ok, f"{root}/tickers_{exchange}", batch_id)
+            keyed = keyed_records(to_relay_json(ok, TICKER_SCHEMAS[exchange], ["crypto_pair"]), "crypto_pair")
+            write_micro_batch(keyed, f"{root}/keyed_{exchange}", batch_id)
             write_micro_batch(as_quotes(parsed, exchange), f"{root}/quotes_{exchange}", batch_id)
             letters = dead_letters(parsed).select(*raw.columns, "reason")
             write_micro_batch(letters, f"{root}/dead_letters_{exchange}", batch_id)
@@ -62,43 +68,88 @@ def tick_batch(store: TickStore, audit_root: str) -> Batch:
     return run
 
 
-_QUOTE = ["exchange", "canonical_pair", "best_bid", "best_ask", "price_scale", "message_id", "timestamp", "arrival"]
+_QUOTE = ["exchange", "canonical_pair", "best_bid", "best_ask", "price_scale", "message_id", "timestamp", "ts", "lane", "arrival"]
+
+
+def _former(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """State as the batch before left it. One batch further back may go: a batch that runs again needs only this."""
+    if batch_id == 0:
+        return None
+    drop_batches(spark, path, lambda n: n < batch_id - 1)
+    return spark.read.parquet(f"{path}/batch_id={batch_id - 1}")
 
 
 @dataclass(frozen=True)
 class SpreadStream:
-    """Spread events of a quote stream.
+    """Spread events of a quote stream, by record time, then exchange, lane and position.
 
     State is the latest quote per exchange and canonical pair, one small folder per batch. Each batch is the
     batch operator over state and new quotes, so a busy pair is spread over tasks like any other rows
-    instead of passing through one keyed state handler.
+    instead of passing through one keyed state handler. State counts as before every new quote, whatever its time.
+    Quotes whose scale cannot be used go to ``spread_errors``.
     """
 
     root: str
 
-    def _state(self, batch: DataFrame, batch_id: int) -> DataFrame | None:
-        if batch_id == 0:
-            return None
-        return batch.sparkSession.read.parquet(f"{self.root}/spread_state/batch_id={batch_id - 1}")
-
     def __call__(self, quotes: DataFrame, batch_id: int) -> None:
-        fresh = to_canonical(quotes).select(*_QUOTE).withColumn("_new", F.lit(1))
-        state = self._state(quotes, batch_id)
+        canonical = to_canonical(quotes).select(*_QUOTE)
+        fresh = canonical.withColumn("_new", F.lit(1))
+        state = _former(quotes.sparkSession, f"{self.root}/spread_state", batch_id)
         rows = fresh
         if state is not None:
             rows = state.select(*_QUOTE).withColumn("_new", F.lit(0)).unionByName(fresh)
         rows = rows.persist()
         try:
-            # State comes before every new quote, whatever its position says.
-            chunk = F.when(F.col("_new") == 0, F.lit(-1).cast("bigint")).otherwise(chunk_of("arrival"))
-            events = spread_changelog(rows, ["_new", "arrival"], chunk, keep=["_new", "arrival"])
-            write_micro_batch(
-                events.filter(F.col("_new") == 1).drop("_new"), f"{self.root}/spread", batch_id
-            )
-            latest = rows.groupBy("exchange", "canonical_pair").agg(
-                F.max_by(F.struct(*[c for c in _QUOTE if c not in ("exchange", "canonical_pair")]),
-                         F.struct("_new", "arrival")).alias("_last")
+            order = ["_new", *TIME_ORDER]
+            chunk = F.when(F.col("_new") == 0, F.lit(-(1 << 62))).otherwise(time_chunk())
+            events = spread_changelog(rows, order, chunk, keep=["_new", "exchange", "lane", "arrival"])
+            write_micro_batch(events.filter(F.col("_new") == 1).drop("_new"), f"{self.root}/spread", batch_id)
+            write_micro_batch(scale_errors(rows.filter("_new = 1")).drop("_new"), f"{self.root}/spread_errors", batch_id)
+            others = [c for c in _QUOTE if c not in ("exchange", "canonical_pair")]
+            latest = rows.filter(usable_scale()).groupBy("exchange", "canonical_pair").agg(
+                F.max_by(F.struct(*others), F.struct("_new", "ts", "lane", "arrival")).alias("_last")
             ).select("exchange", "canonical_pair", "_last.*")
-            write_micro_batch(latest.coalesce(1), f"{self.root}/spread_state", batch_id)
+            write_micro_batch(latest, f"{self.root}/spread_state", batch_id)
         finally:
             rows.unpersist()
+
+
+@dataclass(frozen=True)
+class ThrottleStream:
+    """The last quote by position per lane, pair and window, written once its window is closed: the exact late rule of
+    ``throttle_closed``, lane by lane, so a lane that lags behind the others loses nothing.
+
+    State per batch: each lane's clock, and the latest quotes of windows still open. The lane's clock enters the next
+    batch's rule as a row before all others.
+    """
+
+    root: str
+    size: timedelta = WINDOW
+    grace: timedelta = GRACE
+
+    def __call__(self, quotes: DataFrame, batch_id: int) -> None:
+        spark = quotes.sparkSession
+        fresh = quotes.withColumn("feed", F.concat_ws("/", "exchange", "lane")).persist()
+        clocks = _former(spark, f"{self.root}/throttle_clock", batch_id)
+        open_rows = _former(spark, f"{self.root}/throttle_open", batch_id)
+        try:
+            rows = fresh.withColumn("_clock_row", F.lit(False))
+            times = fresh.select("feed", "ts")
+            if clocks is not None:
+                before = clocks.select("feed", F.col("clock").alias("ts"), F.lit(-(1 << 62)).alias("arrival"))
+                rows = rows.unionByName(before.withColumn("_clock_row", F.lit(True)), allowMissingColumns=True)
+                times = times.unionByName(before.select("feed", "ts"))
+            clock = times.groupBy("feed").agg(F.max("ts").alias("clock")).persist()
+            on_time = drop_late(rows, self.size, self.grace, lane="feed").filter("not _clock_row").drop("_clock_row")
+            if open_rows is not None:
+                on_time = on_time.unionByName(open_rows.select(*on_time.columns))
+            latest = latest_per_key(on_time, ["feed", "crypto_pair", "window_start"]).join(F.broadcast(clock), "feed")
+            latest = latest.withColumn("_closed", is_closed(F.col("window_start"), F.col("clock"), self.size, self.grace)).persist()
+            columns = [*quotes.columns, "window_start"]
+            write_micro_batch(latest.filter("_closed").select(*columns), f"{self.root}/latest", batch_id)
+            write_micro_batch(latest.filter("not _closed").select("feed", *columns), f"{self.root}/throttle_open", batch_id)
+            write_micro_batch(clock, f"{self.root}/throttle_clock", batch_id)
+            for kept in (latest, clock):
+                kept.unpersist()
+        finally:
+            fresh.unpersist()

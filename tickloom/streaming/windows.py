@@ -17,8 +17,9 @@ def throttle_stream(
 ) -> DataFrame:
     """The last quote by arrival per exchange, pair and window, emitted once the window closes (append mode).
 
-    Spark's watermark is one batch behind and spans all lanes, so a row the exact rule drops may still
-    count. The batch operator holds the exact rule.
+    For a stream of one lane: Spark's watermark spans all rows of a query, so lanes that lag behind others would lose
+    windows, and it is one batch behind, so a row the exact rule drops may still count. ``jobs.ThrottleStream`` holds the
+    exact rule for any number of lanes.
     """
     keys = ["exchange", "crypto_pair"]
     others = [c for c in quotes.columns if c not in keys]
