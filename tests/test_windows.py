@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from tickloom.operators.pairs import PAIRS, pair_dimension, to_canonical
 from tickloom.operators.running import chunk_of, running
 from tickloom.operators.spread import spread_changelog, spread_snapshot
-from tickloom.operators.throttle import drop_late, late_rows, throttle_closed, throttle_latest
+from tickloom.operators.throttle import drop_late, late_rows, latest_per_key, throttle_closed, throttle_latest
+from tickloom.plans.registry import all_queries
+from tickloom.sources import event_views as views
+
+QUERIES = all_queries()
 
 T0 = datetime(2024, 1, 1)
 
@@ -130,3 +134,28 @@ def test_plans_keep_raw_rows_in_place(spark, sf_dir):
         assert "SinglePartition" not in plan and "CartesianProduct" not in plan, name
         if name == "throttle_latest":
             assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_latest_rows_are_hashed_not_sorted(spark, sf_dir):
+    """Fixed-width rows stay in the aggregation; texts are joined back from the winners alone."""
+    quotes = views.quotes(spark, sf_dir)
+    for columns in (["best_bid", "best_ask", "ts"], ["best_bid", "message_id", "timestamp"]):
+        rows = quotes.select("exchange", "crypto_pair", "arrival", *columns)
+        last = latest_per_key(rows, ["exchange", "crypto_pair"])
+        assert "HashAggregate" in _plan(last) and "SortAggregate" not in _plan(last)
+        top = {(r.exchange, r.crypto_pair): r.m for r in rows.groupBy("exchange", "crypto_pair").agg(F.max("arrival").alias("m")).collect()}
+        assert {(r.exchange, r.crypto_pair): r.arrival for r in last.collect()} == top
+
+
+def test_dedupe_shuffles_once(spark, sf_dir):
+    plan = _plan(QUERIES["ticks_dedupe"](spark, sf_dir))
+    assert plan.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in plan and "Aggregate" not in plan
+
+
+def test_closed_windows_need_one_row_per_lane(spark, sf_dir):
+    plan = _plan(QUERIES["throttle_closed"](spark, sf_dir))
+    assert plan.count("FileScan parquet") == 1 and "BroadcastExchange" in plan
