@@ -19,14 +19,14 @@ QUERIES = all_queries()
 T0 = datetime(2024, 1, 1)
 
 
-@pytest.mark.parametrize("span", [1, 3, 7, 1000])
-def test_running_equals_plain_window(spark, span):
+@pytest.mark.parametrize("span,group", [(1, 1024), (1, 4), (3, 2), (7, 1), (1000, 5)])
+def test_running_equals_plain_window(spark, span, group):
     rng = random.Random(span)
     rows = [(f"k{min(rng.randrange(6), 2)}", i, rng.choice([None, rng.randrange(100)])) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, n bigint, v bigint").repartition(5)
     got = running(df, ["k"], ["n"], chunk_of("n", span), {
         "lo": ("min", F.col("v")), "hi": ("max", F.col("v")), "la": ("last", F.col("v")),
-    })
+    }, group)
     w = Window.partitionBy("k").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     want = df.select("k", "n", "v", F.min("v").over(w).alias("lo"), F.max("v").over(w).alias("hi"),
                      F.last("v", True).over(w).alias("la"))
