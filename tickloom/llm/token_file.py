@@ -16,8 +16,11 @@ again does not leave two copies. A document is never parted, so one longer than
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,30 +33,20 @@ from ..session import use_checkpoints
 
 BLOCK, SEGMENT, PERCENTILE, END_ID = 256, 1 << 19, 90, 1
 MEMO = 400_000
-_PLAIN = re.compile(r"[a-z]+|[0-9]|[^\sa-z0-9]+")
-
-
-class _Pieces(dict):
-    """Packed ids of one piece of a stretch, in the tokenizer's own spelling of bytes."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[piece] = np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
-        return value
+#: Latin text without what needs the library's care: combining marks, odd white space, special tokens.
+_LATIN = range(0x180)
+_LETTERS, _NUMBERS = (re.escape("".join(chr(c) for c in _LATIN if unicodedata.category(chr(c))[0] == k)) for k in "LN")
+_CAREFUL = re.compile("[^\x00-\x1b\x20-\u017f]|<\\|")
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 
 class Encoder(dict):
-    """Packed ids of a blank-free stretch of text, worked out by the library and remembered.
+    """Packed ids of one piece of a text, worked out by the library's model and remembered; emptied when full.
 
-    The tokenizer never joins text across a space or a new line, so a text's ids are those of its stretches in a
-    row. In plain ASCII without apostrophes it lowers case and parts letters, single digits and other signs, which is
-    done here; any other stretch goes through the library's own normaliser and splitter, and one that may hold a special
-    token through all of it. Both memories are emptied when full.
+    The tokenizer lowers case and parts a text into runs of letters, single digits and runs of other signs; no token
+    reaches over these cuts. For Latin text the cuts are made here, by the tokenizer's own pattern, and each new piece is
+    given to its model. Any other text is cut at spaces and new lines, which nothing reaches over either, and each new
+    stretch goes through the whole library.
     """
 
     def __init__(self, path: str):
@@ -61,26 +54,34 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.pieces = _Pieces(self.library.model)
+        self.model, self.spell = self.library.model, self.library.pre_tokenizer.pre_tokenize_str
+        self.stretches: dict[str, bytes] = {}
 
-    def __missing__(self, stretch: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        if "<|" in stretch:
-            ids = self.library.encode(stretch, add_special_tokens=False).ids
-            value = np.array(ids, dtype="<u4").tobytes()
-        else:
-            if stretch.isascii() and "'" not in stretch:
-                pieces = _PLAIN.findall(stretch.lower())
-            else:
-                clean = self.library.normalizer.normalize_str(stretch)
-                pieces = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(clean)]
-            value = b"".join(map(self.pieces.__getitem__, pieces))
-        self[stretch] = value
+        spelt = piece if piece.isascii() and piece.isprintable() else self.spell(piece)[0][0]
+        value = self[piece] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return value
 
+    def _stretch(self, text: str) -> bytes:
+        found = self.stretches.get(text)
+        if found is None:
+            if len(self.stretches) >= MEMO // 4:
+                self.stretches.clear()
+            found = self.stretches[text] = array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return found
+
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if _CAREFUL.search(text):
+            return b"".join(map(self._stretch, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.__getitem__, _PIECE.findall(text.lower())))
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_for(path: str) -> Encoder:
+    """The worker's encoder: what it remembers serves the next task too."""
+    return Encoder(path)
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
@@ -166,7 +167,7 @@ SEGMENTS = "part int, seq int, before long, n_ids long, data binary"
 
 def _write(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        encoder, part = encoder_for(path), TaskContext.get().partitionId()
         end = np.array([END_ID], dtype="<u4").tobytes()
         names, held, size, seq, before = [], [], 0, 0, 0
 
