@@ -56,6 +56,7 @@ def mapping_errors(quotes: DataFrame, keep: list[str] | None = None) -> DataFram
 
 def mapping_audit(errors: DataFrame) -> DataFrame:
     """One ERROR monitoring event per quote that did not map."""
+    # Fixed text: what log readers look for.
     message = F.concat(F.lit("Failed to map "), F.initcap("exchange"), F.lit(" ticker: "), F.col("error"))
     return monitor_event(
         errors, message, F.lit("ERROR"), origin="aggregations", at=F.col("timestamp"),
