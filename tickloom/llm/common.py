@@ -13,6 +13,7 @@ from pyspark.sql.types import DataType, StructType
 
 from ..session import use_checkpoints
 
+SLICE = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,12 +38,13 @@ def with_field(schema: StructType, name: str, kind: str) -> StructType:
 
 
 def map_batches(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
-    """``work`` on every Arrow batch; batches without an answer give no rows."""
+    """``work`` on every Arrow batch, in slices of ``SLICE`` rows so that what a worker holds beside the batch stays
+    small; slices without an answer give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = work(batch)
+            for at in range(0, batch.num_rows, SLICE):
+                out = work(batch.slice(at, SLICE))
                 if out is not None and out.num_rows:
                     yield out
 

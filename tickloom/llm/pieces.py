@@ -12,6 +12,7 @@ apart is answered from the tree of merges of each (``compatible``), and remember
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from .common import map_batches, with_field
 
 SPACE = "▁"
 NEVER = np.iinfo(np.int64).max
-MEMO, CHARS, PAIRS = 200_000, 2_000_000, 1 << 20
+MEMO, CHARS, NEW_CHARS, PAIRS = 250_000, 2_000_000, 250_000, 1 << 20
 
 
 def merged(text: str, score: dict[str, float]) -> tuple[list[str], tuple[str, str] | None]:
@@ -305,13 +306,26 @@ class Encoder(dict):
                 at += 1
             if len(self) >= MEMO:
                 self.clear()
-            new = [s for s in set().union(*parts) if s and s not in self]
-            if new:
-                self.learn(new)
+            held, size = [], 0
+            for s in set().union(*parts):
+                if s and s not in self:
+                    held.append(s)
+                    size += len(s) + 1
+                    if size >= NEW_CHARS:
+                        self.learn(held)
+                        held, size = [], 0
+            if held:
+                self.learn(held)
             out += map(self._join, parts)
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_for(model: str) -> Encoder:
+    """The worker's encoder: what it remembers serves the next task too."""
+    return Encoder(Vocabulary(model))
+
+
 def decode(ids: list[int], pieces: list[bytes]) -> str:
     text = b"".join(map(pieces.__getitem__, ids))
     return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
@@ -320,17 +334,13 @@ def decode(ids: list[int], pieces: list[bytes]) -> str:
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """``docs`` (any columns) with ``piece_ids`` added or replaced: the ids that the model gives the whole text.
 
-    A null text has null ids, an empty one no ids. Equal texts have equal ids. ``model`` is the model file's place; it is
-    read on the driver, and tasks get its tables.
+    A null text has null ids, an empty one no ids. Equal texts have equal ids. ``model`` is the model file's place, the
+    same on every machine.
     """
-    vocabulary = Vocabulary(model)
-    encoder: list[Encoder] = []
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not encoder:
-            encoder.append(Encoder(vocabulary))
         column = batch.column("text")
-        packed = encoder[0].encode([t or "" for t in column.to_pylist()])
+        packed = encoder_for(model).encode([t or "" for t in column.to_pylist()])
         size = np.fromiter((len(p) // 4 for p in packed), np.int64, len(packed))
         offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         ids = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"), pa.int32())
@@ -344,11 +354,12 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
 
 def decode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """``docs`` with ``decoded`` added or replaced: the text that ``piece_ids`` stand for; null where they are null."""
-    pieces = Vocabulary(model).bytes
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        column = batch.column("piece_ids")
-        texts = [None if row is None else decode(row, pieces) for row in column.to_pylist()]
+        column, pieces = batch.column("piece_ids"), encoder_for(model).v.bytes
+        at, ids = column.offsets.to_numpy(), column.values.to_numpy()  # offsets of a slice still count from the whole
+        texts = [decode(ids[a:b].tolist(), pieces) if ok else None  # one text's ids at a time become Python numbers
+                 for a, b, ok in zip(at[:-1], at[1:], column.is_valid().to_pylist())]
         kept = [n for n in batch.schema.names if n != "decoded"]
         return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(texts, pa.string())], [*kept, "decoded"])
 
