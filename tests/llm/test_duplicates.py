@@ -104,6 +104,16 @@ def test_substrings(spark, odd, none, window, gram, crowd):
         assert {bytes(r.kept) for r in rows if r.doc_id == 4} == {b""} and {r.n_bytes for r in rows if r.doc_id == 1} == {0}
 
 
+@pytest.mark.parametrize("crowd", [512, 1])
+def test_shared_anchors_without_a_repeat(spark, crowd):
+    """Ranges meet, but what they share is shorter than the window: nothing goes."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(60)) + "0123456789ABCDEFGHIJ" + "".join(rng.choice("abcdefgh") for _ in range(60))
+             for _ in range(12)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(len(r.removed), len(r.kept)) for r in remove_repeats(frame, 40, 8, crowd).collect()] == [(0, 140)] * 12
+
+
 def test_rounds_sort_suffixes():
     docs = [b"banana", b"anan", b"ban", b"zz"]
     width = max(map(len, docs))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.chat import format_chats, read_chats
 from tickloom.llm.decontaminate import clean_documents, contamination, without_spans
-from tickloom.llm.pieces import Encoder, Vocabulary, decode, decode_pieces, encode_pieces
+from tickloom.llm.pieces import Encoder, Vocabulary, decode, decode_pieces, encode_and_decode, encode_pieces
 from tickloom.llm.token_file import Encoder as TokenEncoder
 from tickloom.llm.token_file import Segment, new_path, pack, read_tokens, write_segment, write_tokens
 
@@ -79,6 +79,8 @@ def test_pieces_of_frames(odd, none):
     assert len(rows) == odd.count() and all(r.decoded == r.text for r in rows)
     assert {r.piece_ids is None for r in rows if r.text is None} == {True} and [r.piece_ids for r in rows if r.text == ""] == [[]]
     assert decode_pieces(encode_pieces(none, MODEL), MODEL).count() == 0
+    both = encode_and_decode(odd, MODEL).select("text", "piece_ids", "decoded").collect()
+    assert sorted(map(str, both)) == sorted(str(r) for r in decode_pieces(encode_pieces(odd, MODEL), MODEL).select("text", "piece_ids", "decoded").collect())
 
 
 def test_chats(spark):
