@@ -331,37 +331,47 @@ def decode(ids: list[int], pieces: list[bytes]) -> str:
     return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
 
+def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    kept = [n for n in batch.schema.names if n != name]
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), values], [*kept, name])
+
+
+def _encoded(batch: pa.RecordBatch, model: str) -> pa.RecordBatch:
+    column = batch.column("text")
+    packed = encoder_for(model).encode([t or "" for t in column.to_pylist()])
+    size = np.fromiter((len(p) // 4 for p in packed), np.int64, len(packed))
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    ids = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"), pa.int32())
+    mask = column.is_null() if column.null_count else None
+    return _with(batch, "piece_ids", pa.ListArray.from_arrays(pa.array(offsets), ids, mask=mask))
+
+
+def _decoded(batch: pa.RecordBatch, model: str) -> pa.RecordBatch:
+    column, pieces = batch.column("piece_ids"), encoder_for(model).v.bytes
+    at, ids = column.offsets.to_numpy(), column.values.to_numpy()  # offsets of a slice still count from the whole
+    texts = [decode(ids[a:b].tolist(), pieces) if ok else None  # one text's ids at a time become Python numbers
+             for a, b, ok in zip(at[:-1], at[1:], column.is_valid().to_pylist())]
+    return _with(batch, "decoded", pa.array(texts, pa.string()))
+
+
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """``docs`` (any columns) with ``piece_ids`` added or replaced: the ids that the model gives the whole text.
 
     A null text has null ids, an empty one no ids. Equal texts have equal ids. ``model`` is the model file's place, the
     same on every machine.
     """
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        column = batch.column("text")
-        packed = encoder_for(model).encode([t or "" for t in column.to_pylist()])
-        size = np.fromiter((len(p) // 4 for p in packed), np.int64, len(packed))
-        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        ids = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"), pa.int32())
-        rows = pa.ListArray.from_arrays(pa.array(offsets), ids, mask=column.is_null() if column.null_count else None)
-        kept = [n for n in batch.schema.names if n != "piece_ids"]
-        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), rows], [*kept, "piece_ids"])
-
     docs = docs.drop("piece_ids")
-    return map_batches(docs, work, with_field(docs.schema, "piece_ids", "array<int>"))
+    return map_batches(docs, lambda b: _encoded(b, model), with_field(docs.schema, "piece_ids", "array<int>"))
 
 
 def decode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """``docs`` with ``decoded`` added or replaced: the text that ``piece_ids`` stand for; null where they are null."""
+    docs = docs.drop("decoded")
+    return map_batches(docs, lambda b: _decoded(b, model), with_field(docs.schema, "decoded", "string"))
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        column, pieces = batch.column("piece_ids"), encoder_for(model).v.bytes
-        at, ids = column.offsets.to_numpy(), column.values.to_numpy()  # offsets of a slice still count from the whole
-        texts = [decode(ids[a:b].tolist(), pieces) if ok else None  # one text's ids at a time become Python numbers
-                 for a, b, ok in zip(at[:-1], at[1:], column.is_valid().to_pylist())]
-        kept = [n for n in batch.schema.names if n != "decoded"]
-        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(texts, pa.string())], [*kept, "decoded"])
 
-    docs = docs.drop("decoded")
-    return map_batches(docs, work, with_field(docs.schema, "decoded", "string"))
+def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
+    """``decode_pieces(encode_pieces(docs))`` in one pass, so a task needs one Python worker and not two."""
+    docs = docs.drop("piece_ids", "decoded")
+    schema = with_field(with_field(docs.schema, "piece_ids", "array<int>"), "decoded", "string")
+    return map_batches(docs, lambda b: _decoded(_encoded(b, model), model), schema)

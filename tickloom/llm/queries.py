@@ -10,7 +10,7 @@ from .chat import format_chats, read_chats
 from .common import table
 from .decontaminate import contamination
 from .line_dedup import dedup_lines
-from .pieces import SPACE, decode_pieces, encode_pieces
+from .pieces import SPACE, encode_and_decode
 from .pivots import near_vectors
 from .quality import quality
 from .oracles import ORACLES
@@ -90,8 +90,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    rows = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    rows = decode_pieces(rows, model)
+    rows = encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     return rows.select("doc_id", F.size("piece_ids").cast("long").alias("n_ids"),
                        F.sha2(F.array_join(F.transform("piece_ids", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"),
                        (F.col("decoded") == F.replace("text", F.lit(SPACE), F.lit(" "))).alias("round_trip"))

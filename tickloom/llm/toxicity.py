@@ -10,7 +10,9 @@ The fit uses a bounded sample: at most ``per_class`` rows of each label, the fir
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ IDENTITY_TERMS = (
 SWAPS = {name: row[(i + 1) % len(row)] for row in IDENTITY_TERMS for i, name in enumerate(row)}
 
 PER_CLASS, FEATURES, SWAP_WEIGHT, L2, STEPS = 2500, 6000, 1.0, 1e-3, 250
-MEMO = 500_000
+MEMO = 200_000
 
 
 def word_features(word: str) -> list[str]:
@@ -50,13 +52,15 @@ def _bag(words: set[str]) -> Counter:
 class _Rows:
     """Sparse rows with the two products a gradient needs."""
 
-    def __init__(self, bags: list[dict], index: dict[str, int]):
-        found = [[(index[f], n) for f, n in bag.items() if f in index] for bag in bags]
-        self.n, self.d = len(bags), len(index)
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in found])
-        flat = [x for row in found for x in row]
-        self.col = np.array([c for c, _ in flat], dtype=np.int64)
-        self.val = np.array([v for _, v in flat], dtype=np.float64)
+    def __init__(self, bags: Iterable[dict], index: dict[str, int]):
+        row, col, val, self.n, self.d = array("i"), array("i"), array("d"), 0, len(index)
+        for bag in bags:  # one document's features at a time
+            for f, n in bag.items():
+                if f in index:
+                    row.append(self.n), col.append(index[f]), val.append(n)
+            self.n += 1
+        self.row, self.col = np.array(row, dtype=np.int64), np.array(col, dtype=np.int64)
+        self.val = np.array(val, dtype=np.float64)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], self.n)
@@ -83,10 +87,9 @@ def fit(texts: list[str | None], toxic: list[int]) -> tuple[dict[str, float], fl
     y = np.array(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return {}, (4.0 if len(y) and y[0] else -4.0)
-    bags = [_bag(set(WORD.findall(t.lower()))) for t in texts]
     seen = (Counter(), Counter())
-    for bag, label in zip(bags, toxic):
-        seen[label].update(bag.keys())
+    for text, label in zip(texts, toxic):
+        seen[label].update(_bag(set(WORD.findall(text.lower()))).keys())
     n = np.array([max(1, len(y) - y.sum()), max(1, y.sum())])
     names = [f for f in {*seen[0], *seen[1]} if seen[0][f] + seen[1][f] >= 3]
     share = np.array([[seen[0][f], seen[1][f]] for f in names]).reshape(-1, 2)
@@ -95,8 +98,9 @@ def fit(texts: list[str | None], toxic: list[int]) -> tuple[dict[str, float], fl
     z = np.abs(p[:, 1] - p[:, 0]) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
     order = sorted(range(len(names)), key=lambda i: (-z[i], names[i]))[:FEATURES]
     index = {names[i]: k for k, i in enumerate(order)}
-    x = _Rows(bags, index)
-    pairs = _Rows([c for t in texts for c in counterfactuals(t)], index)
+    del seen, share, p, both, z, names
+    x = _Rows((_bag(set(WORD.findall(t.lower()))) for t in texts), index)
+    pairs = _Rows((c for t in texts for c in counterfactuals(t)), index)
 
     w, bias = np.zeros(len(index)), 0.0
     moment, scale = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
