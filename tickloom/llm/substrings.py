@@ -11,7 +11,8 @@ sort by it gives the next order, and common prefixes grow by one where neighbour
 (``rounds``). Neighbours whose common prefix reaches ``WINDOW`` start equal strings.
 
 Ranges whose whole text occurs again are found beforehand by one aggregation, so copies do not enter a collection. A
-collection above ``CROWD`` different ranges is not gathered in one task: its strings are counted by their digests instead.
+collection above ``CROWD`` different ranges is not gathered in one task: it is sorted in parts, and what a string of one part has
+in another is found by digests, of blocks of ``BLOCK`` starts first and then of the strings in blocks that match.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, map_batches, stored, with_field
+from .common import SLICE, grouped, map_batches, stored, with_field
 
-WINDOW, GRAM, CROWD, PORTION, RANGES = 400, 32, 512, 1 << 21, 8192
+WINDOW, GRAM, CROWD, BLOCK, PORTION, RANGES = 400, 32, 256, 16, 1 << 20, 8192
 _POSITION = 24  # low bits of a sort key hold the place; PORTION plus a window must fit
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = np.full(PORTION + (1 << 16), _BASE, dtype=np.uint64)
@@ -84,7 +85,7 @@ def _find(window: int, gram: int):
             yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             texts = batch.column("text").to_pylist()
             for part in portions(batch.column("doc_id").to_pylist(), batch.column("_tl_h").to_pylist(), texts):
                 whole = b"".join(p[3] for p in part)
@@ -160,24 +161,44 @@ def repeated(bucket: np.ndarray, off: np.ndarray, segs: list[bytes], window: int
     return np.concatenate(rows), np.concatenate(starts)
 
 
+def _blocks(off: int, seg: bytes, hit: np.ndarray, window: int) -> Iterator[tuple[int, int, bool]]:
+    """Blocks of ``BLOCK`` columns that hold starts of a range: first column, digest of what all strings that
+    start in the block have in common, and whether some of the range's own is still without a partner."""
+    count = len(seg) - window + 1
+    whole = np.zeros(count, dtype=bool)
+    whole[hit] = True
+    first = -off // BLOCK * BLOCK
+    for a in range(first, count - off, BLOCK):
+        low, high = max(0, a + off), min(count, a + off + BLOCK)
+        core = seg[max(0, a + off + BLOCK - 1):max(0, a + off + window)]
+        yield a, xxhash.xxh3_64_intdigest(core, a & 0xFFFFFFFF), not whole[low:high].all()
+
+
 def _sort(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, "anchor", RANGES):
-            anchor = rows.column("anchor").to_numpy()
-            bucket = np.cumsum(np.append(0, np.diff(anchor) != 0))
-            row, start = repeated(bucket, rows.column("off").to_numpy(), rows.column("bytes").to_pylist(), window)
-            if not len(row):
-                continue
+        for rows in grouped(batches, "bucket", RANGES):
+            rows = rows.combine_chunks()
+            key, off, segs = rows.column("bucket").to_numpy(), rows.column("off").to_numpy(), rows.column("bytes").to_pylist()
+            bucket = np.cumsum(np.append(0, np.diff(key) != 0))
+            row, start = repeated(bucket, off, segs, window)
             order = np.lexsort((start, row))
             row, start = row[order], start[order]
-            new = np.append(True, (np.diff(row) != 0) | (np.diff(start) != 1))  # starts in a row make one mark
-            at = np.flatnonzero(new)
-            ends = np.append(at[1:], len(row)) - 1
-            who = pa.array(row[at])
-            u = rows.column("u").to_numpy()[row[at]]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": rows.column("doc_id").combine_chunks().take(who), "_tl_h": rows.column("_tl_h").combine_chunks().take(who),
-                "first": pa.array(u + start[at], pa.int64()), "past": pa.array(u + start[ends] + window, pa.int64())})
+            u = rows.column("u").to_numpy()
+            at = np.flatnonzero(np.append(len(row) > 0, (np.diff(row) != 0) | (np.diff(start) != 1)))  # starts in a row: one mark
+            ends = np.append(at[1:], len(row))[:len(at)] - 1
+            owner, first, past = list(row[at]), list(u[row[at]] + start[at]), list(u[row[at]] + start[ends] + window)
+            column, digest, open_ = ([None] * len(owner) for _ in range(3))
+            crowded = np.flatnonzero(rows.column("crowded").to_numpy())
+            for j, low, high in zip(crowded, np.searchsorted(row, crowded), np.searchsorted(row, crowded, "right")):
+                for a, d, more in _blocks(int(off[j]), segs[j], start[low:high], window):
+                    owner.append(j), first.append(u[j]), past.append(None), column.append(a)
+                    digest.append(d - (1 << 64) if d >> 63 else d), open_.append(more)
+            if owner:
+                who = pa.array(np.array(owner, dtype=np.int64))
+                yield pa.RecordBatch.from_pydict({
+                    **{n: rows.column(n).combine_chunks().take(who) for n in ("doc_id", "_tl_h", "anchor")},
+                    "first": pa.array(first, pa.int64()), "past": pa.array(past, pa.int64()), "column": pa.array(column, pa.int32()),
+                    "digest": pa.array(digest, pa.int64()), "open": pa.array(open_, pa.bool_())})
 
     return run
 
@@ -185,24 +206,25 @@ def _sort(window: int):
 def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     texts, asked = batch.column("text").to_pylist(), batch.column("asked")
     count = np.array([len(a) for a in asked])
-    flat = asked.flatten()
+    flat = asked.flatten()  # of the slice alone
     owner = np.repeat(np.arange(len(texts)), count)
     u, size = flat.field("u").to_numpy(), flat.field("size").to_numpy()
     parts = [texts[o][a:a + n] for o, a, n in zip(owner.tolist(), u.tolist(), size.tolist())]
     who = pa.array(owner)
     return pa.RecordBatch.from_pydict({
         "doc_id": batch.column("doc_id").take(who), "_tl_h": batch.column("_tl_h").take(who), "u": pa.array(u),
-        "off": flat.field("off"), "anchor": flat.field("anchor"), "crowded": flat.field("crowded"), "bytes": pa.array(parts, pa.binary())})
+        **{n: flat.field(n) for n in ("off", "anchor", "crowded", "bucket")}, "bytes": pa.array(parts, pa.binary())})
 
 
 def _digests(window: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         digest, out = xxhash.xxh3_64_intdigest, []
-        for s in batch.column("bytes").to_pylist():
-            out.append(np.array([digest(s[i:i + window]) for i in range(len(s) - window + 1)], dtype=np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in ("doc_id", "_tl_h", "u", "off", "anchor")), pa.array(out, pa.list_(pa.int64()))],
-            ["doc_id", "_tl_h", "u", "off", "anchor", "digests"])
+        for s, off, columns in zip(*(batch.column(n).to_pylist() for n in ("bytes", "off", "columns"))):
+            starts = [i for a in columns for i in range(max(0, a + off), min(len(s) - window + 1, a + off + BLOCK))]
+            out.append([{"i": i, "digest": d - (1 << 64) if d >> 63 else d} for i in starts for d in [digest(s[i:i + window])]])
+        kind = pa.list_(pa.struct([("i", pa.int32()), ("digest", pa.int64())]))
+        names = ["doc_id", "_tl_h", "u", "off", "anchor"]
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, kind)], [*names, "digests"])
 
     return work
 
@@ -222,26 +244,38 @@ def repeated_marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crow
     marks = some.join(copied, ["anchor", "seg"]).select("doc_id", "_tl_h", F.col("u").alias("first"), (F.col("u") + F.col("size")).alias("past"))
 
     sizes = stored(segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    # a crowded collection is parted by a hash, so no task gathers it whole
+    parts = F.ceil(F.col("m") / crowd).cast("int")
+    place = F.xxhash64("p.doc_id", "p._tl_h", "p.u")
     ask = segs.join(sizes, "anchor").select("p.doc_id", "p._tl_h", F.struct(
-        "p.u", "p.size", "p.off", "anchor", (F.col("m") > crowd).alias("crowded")).alias("a"))
+        "p.u", "p.size", "p.off", "anchor", (F.col("m") > crowd).alias("crowded"),
+        F.xxhash64("anchor", F.pmod(place, parts)).alias("bucket")).alias("a"))
     ask = ask.groupBy("doc_id", "_tl_h").agg(F.collect_list("a").alias("asked"))  # as many as the text has ranges
     named = ask.select(F.col("doc_id").alias("_d"), F.col("_tl_h").alias("_h"), "asked")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tl_h") == F.col("_h"))
     cut = stored(map_batches(texts.join(named, same).drop("_d", "_h"), _cut,
-                             f"doc_id {kind}, _tl_h long, u long, off int, anchor long, crowded boolean, bytes binary"))
-    sorted_ = cut.filter("not crowded").drop("crowded").repartition("anchor").sortWithinPartitions("anchor") \
-        .mapInArrow(_sort(window), f"doc_id {kind}, _tl_h long, first long, past long")
-    marks = marks.unionAll(sorted_)
-
+                             f"doc_id {kind}, _tl_h long, u long, off int, anchor long, crowded boolean, bucket long, bytes binary"))
+    found = stored(cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _sort(window), f"doc_id {kind}, _tl_h long, anchor long, first long, past long, column int, digest long, open boolean"))
+    marks = marks.unionAll(found.filter("past is not null").select("doc_id", "_tl_h", "first", "past"))
+
+    # strings of different parts: first whole blocks of starts by what they share, then the strings of blocks that match
+    block = F.xxhash64("anchor", "column", "digest").alias("block")
+    blocks = found.filter("past is null").select("doc_id", "_tl_h", F.col("first").alias("u"), "column", "open", block)
+    match = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open"))
+    match = stored(match.filter("n > 1 and open").select("block"))
+    if match.isEmpty():
+        return marks
+    again = blocks.join(match, "block").groupBy("doc_id", "_tl_h", "u").agg(F.collect_list("column").alias("columns"))
+    again = again.select(F.col("doc_id").alias("_d"), F.col("_tl_h").alias("_h"), F.col("u").alias("_u"), "columns")
     crowded = cut.filter("crowded")
-    if not crowded.isEmpty():
-        dealt = crowded.select("doc_id", "_tl_h", "u", "off", "anchor", "bytes").repartition(F.xxhash64("doc_id", "_tl_h", "u"))
-        each = map_batches(dealt, _digests(window), f"doc_id {kind}, _tl_h long, u long, off int, anchor long, digests array<long>")
-        each = stored(each.select("doc_id", "_tl_h", "u", "anchor", "off", F.posexplode("digests").alias("i", "digest")).select(
-            "doc_id", "_tl_h", (F.col("u") + F.col("i")).alias("first"), F.xxhash64("anchor", F.col("off") - F.col("i"), "digest").alias("string")))
-        twice = stored(each.groupBy("string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("string"))
-        marks = marks.unionAll(each.join(twice, "string").select("doc_id", "_tl_h", "first", (F.col("first") + window).alias("past")))
-    return marks
+    same = crowded["doc_id"].eqNullSafe(F.col("_d")) & (crowded["_tl_h"] == F.col("_h")) & (crowded["u"] == F.col("_u"))
+    each = map_batches(crowded.join(again, same).drop("_d", "_h", "_u", "crowded", "bucket"), _digests(window),
+                       f"doc_id {kind}, _tl_h long, u long, off int, anchor long, digests array<struct<i:int,digest:long>>")
+    each = stored(each.select("doc_id", "_tl_h", "u", "anchor", "off", F.inline("digests")).select(
+        "doc_id", "_tl_h", (F.col("u") + F.col("i")).alias("first"), F.xxhash64("anchor", F.col("i") - F.col("off"), "digest").alias("string")))
+    twice = stored(each.groupBy("string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("string"))
+    return marks.unionAll(each.join(twice, "string").select("doc_id", "_tl_h", "first", (F.col("first") + window).alias("past")))
 
 
 def _remove(batch: pa.RecordBatch) -> pa.RecordBatch:
