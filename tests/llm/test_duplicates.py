@@ -156,6 +156,20 @@ def test_vectors(spark, cell):
     assert {tuple(r) for r in near_vectors(frame.filter("label is null")).collect()} == {(n + 5, 0, n + 5)}
 
 
+@pytest.mark.parametrize("noise", [0.009, 0.0125])
+def test_vectors_of_a_dense_group(spark, noise):
+    """A third of the rows are distinct near copies of one vector: no link of theirs is lost."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:300] = x[0] + rng.normal(size=(300, 64)) * noise
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in near_vectors(frame).collect()}
+    want = (x @ x.T >= 0.98).sum(axis=1) - 1
+    assert want[:300].mean() > 250 and got == dict(enumerate(want.tolist()))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
 def test_lines(spark, n):
     rng = random.Random(n)

@@ -6,7 +6,13 @@ key of an inverted list. A pair is verified by exact cosine in the list of the s
 nowhere else, so links are counted once. Long lists are parted (``common.cells``); a list sends on one count per vector
 and one link per vector it joined, never its pairs. Identical vectors are one entry with a count.
 
-Pivots come from a bounded sample: the first ``PIVOTS`` distinct vectors by a hash. Every vector is indexed.
+In a dense group the nearest pivots are picked by noise, so those lists alone lose links there. Every pivot also has a ball of
+twice the link angle, which is a list too: all links of a vector that is itself within the link angle of a pivot are
+in that ball, so such a vector is in the lists of balls alone and loses nothing. A pair that shares a ball is verified
+in the first one it shares.
+
+Pivots come from a bounded sample: the first ``SAMPLE`` distinct vectors by a hash. Up to half are those with the most
+sampled vectors within the link angle, the others lie farthest apart; no two are within the link angle. Every vector is indexed.
 """
 
 from __future__ import annotations
@@ -16,12 +22,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cell_pairs, cells, components, grouped, local_roots, map_batches, stored
 
 PIVOTS, NEAREST, SHARED, LEAST_COSINE, CELL = 64, 6, 3, 0.98, 512
+SAMPLE, CROWD = 2048, 5  # vectors that pivots are picked from; sampled vectors that make a dense group
 
 
 def _matrix(column, width: int | None = None) -> np.ndarray:
@@ -45,17 +53,51 @@ def _lowest(bits: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _index(pivots: np.ndarray, nearest: int, shared: int):
+def pick_pivots(sample: np.ndarray, n: int, least: float) -> np.ndarray:
+    """Up to ``n`` rows, none within the link angle of another: middles of dense groups first, then farthest-first."""
+    like = sample @ sample.T
+    near, open_, picked = like >= least, np.ones(len(sample), dtype=bool), []
+    while len(picked) < n // 2:
+        count = np.where(open_, near[:, open_].sum(axis=1), 0)
+        if count.max() < CROWD:
+            break
+        picked.append(int(count.argmax()))
+        open_ &= ~near[picked[-1]]
+    if not picked:
+        picked.append(0)
+    closest = like[:, picked].max(axis=1)
+    while len(picked) < n and closest.min() < least:
+        picked.append(int(closest.argmin()))
+        closest = np.maximum(closest, like[:, picked[-1]])
+    return sample[picked]
+
+
+def _index(pivots: np.ndarray, nearest: int, shared: int, least: float):
+    ball = np.cos(min(np.pi, 2 * np.arccos(least))) - 1e-9
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = _matrix(batch.column("embedding"), pivots.shape[1])
-        top = np.sort(np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :nearest], axis=1)
+        like = x @ pivots.T
+        each = np.uint64(1) << np.arange(len(pivots), dtype=np.uint64)
+        inside = like >= ball
+        balls = np.bitwise_or.reduce(np.where(inside, each, np.uint64(0)), axis=1)
+        # what is cut to the pivots' length may be farther off than it seems
+        whole = pc.list_value_length(batch.column("embedding")).to_numpy() <= pivots.shape[1]
+        inner = (like.max(axis=1) >= least + 1e-9) & whole
+        top = np.sort(np.argsort(-like, axis=1, kind="stable")[:, :nearest], axis=1)
         bit = np.uint64(1) << top.astype(np.uint64)
         mask = np.bitwise_or.reduce(bit, axis=1)
         choices = np.stack([np.bitwise_or.reduce(bit[:, list(c)], axis=1) for c in combinations(range(nearest), shared)], axis=1)
-        flat = pa.array(choices.astype(np.uint64).view(np.int64).ravel())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * choices.shape[1]), flat)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(mask.view(np.int64)), lists],
-                                          [*batch.schema.names, "mask", "choices"])
+
+        def lists(values: np.ndarray, count: np.ndarray) -> pa.ListArray:
+            at = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(at), pa.array(values.astype(np.uint64).view(np.int64)))
+
+        choices = lists(choices[~inner].ravel(), np.where(inner, 0, choices.shape[1]))
+        around = lists(np.broadcast_to(each, inside.shape)[inside], inside.sum(axis=1))
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(mask.view(np.int64)), pa.array(balls.view(np.int64)), choices, around],
+            [*batch.schema.names, "mask", "balls", "choices", "around"])
 
     return work
 
@@ -64,11 +106,14 @@ def _verify(shared: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, "cell", 8_000):
             node, cell, part, n = (rows.column(c).to_numpy() for c in ("node", "cell", "part", "n"))
-            mask, choice = (rows.column(c).to_numpy().view(np.uint64) for c in ("mask", "choice"))
+            mask, balls, choice = (rows.column(c).to_numpy().view(np.uint64) for c in ("mask", "balls", "choice"))
+            around = rows.column("ball").to_numpy()
             x = _matrix(rows.column("embedding"))
             count, near = np.zeros(len(node), dtype=np.int64), []
             for a, b in cell_pairs(cell, part):
-                own = _lowest(mask[a] & mask[b], shared) == choice[a]
+                both = balls[a] & balls[b]
+                own = np.where(around[a], _lowest(both, 1) == choice[a],
+                               (both == 0) & (_lowest(mask[a] & mask[b], shared) == choice[a]))
                 a, b = a[own], b[own]
                 linked = np.einsum("ij,ij->i", x[a], x[b]) >= least
                 if linked.any():
@@ -101,19 +146,22 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, pivots: int =
     rows = stored(rows.withColumn("node", F.when(fine, F.xxhash64("label", "embedding"))))
     entries = stored(rows.filter("node is not null").groupBy("node", "label", "embedding")
                      .agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id")))
-    sample = entries.orderBy(F.xxhash64("node"), "node").limit(min(64, pivots)).select("embedding").toArrow()
+    sample = entries.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
     if sample.num_rows == 0:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    reference = _matrix(sample.column("embedding"))
+    reference = pick_pivots(_matrix(sample.column("embedding")), min(64, pivots), least)
     nearest = min(nearest, len(reference))
     shared = min(shared, nearest)
-    schema = "node long, label {}, embedding array<double>, n long, mask long, choices array<long>".format(
+    schema = "node long, label {}, embedding array<double>, n long, mask long, balls long, choices array<long>, around array<long>".format(
         vectors.schema["label"].dataType.simpleString())
-    indexed = map_batches(entries.select("node", "label", "embedding", "n"), _index(reference, nearest, shared), schema)
+    indexed = map_batches(entries.select("node", "label", "embedding", "n"), _index(reference, nearest, shared, least), schema)
     indexed = stored(indexed)
-    lists = indexed.select("node", "n", "mask", F.size("embedding").alias("dim"), "label", F.explode("choices").alias("choice"))
-    lists = lists.select("node", "n", "mask", "choice", F.xxhash64("label", "dim", "choice").alias("key"))
-    dealt = cells(lists, "key", "node", cell).select("cell", "part", "node", "n", "mask", "choice") \
+    told = ("node", "n", "mask", "balls")
+    lists = indexed.select(*told, F.size("embedding").alias("dim"), "label", F.explode(F.concat(
+        F.transform("choices", lambda c: F.struct(F.lit(False).alias("ball"), c.alias("choice"))),
+        F.transform("around", lambda c: F.struct(F.lit(True).alias("ball"), c.alias("choice"))))).alias("list"))
+    lists = lists.select(*told, "list.ball", "list.choice", F.xxhash64("label", "dim", "list").alias("key"))
+    dealt = cells(lists, "key", "node", cell).select("cell", "part", *told, "ball", "choice") \
         .join(indexed.select("node", "embedding"), "node")
     found = stored(dealt.repartition("cell").sortWithinPartitions("cell")
                    .mapInArrow(_verify(shared, least), "a long, b long, links long"))
