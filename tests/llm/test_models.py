@@ -33,6 +33,22 @@ def test_swaps_keep_the_score_steady():
     assert word(steady, "vile") > 1
 
 
+def test_the_cap_keeps_the_balance(spark):
+    """Words that tell nothing score the counted share of toxic labels, whether or not the cap evens the sample out."""
+    rng = np.random.default_rng(2)
+    words = ["tree", "river", "stone", "cloud", "road", "hill", "lake", "wind"]
+    texts = [" ".join(rng.choice(words, 4)) + (" vile" if i % 8 == 0 and i % 3 else "") for i in range(640)]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(640)], LABELS)
+    whole, capped = ({r.doc_id: r.toxic_score for r in toxicity.toxicity(docs, labels, F.lit(True), n).collect()} for n in (2500, 80))
+
+    def logit(p):
+        return np.log(p / (1 - p))
+
+    shift = np.median([logit(capped[i]) - logit(whole[i]) for i in capped])
+    assert abs(shift) < 0.7, shift
+
+
 @pytest.mark.parametrize("query,column,threshold", [(op1_toxicity, "toxic", 0.5), (op3_quality, "quality", 0.7)])
 def test_held_out(spark, query, column, threshold):
     sf_dir = "/root/testdata/sf0.1"

@@ -4,7 +4,9 @@ A linear model over words and word prefixes is fitted to labelled documents. Eve
 group gives a counterfactual in which the group's name is swapped for another of the same kind; the squared
 change of the score between the two is added to the loss, so that naming a group moves the score little.
 
-The fit uses a bounded sample: at most ``per_class`` rows of each label, the first by a hash of their id.
+The fit uses a bounded sample: at most ``per_class`` rows of each label, the first by a hash of their id. Both labels weigh
+alike in the loss, whatever the sample's balance; the bias is then shifted to the counted share of toxic labels, so a
+score means the same at every input size.
 """
 
 from __future__ import annotations
@@ -81,8 +83,11 @@ def counterfactuals(text: str) -> list[Counter]:
     return out
 
 
-def fit(texts: list[str | None], toxic: list[int]) -> tuple[dict[str, float], float]:
-    """Weight of each feature, and the bias, for the score 1 / (1 + exp(-(bias + sum)))."""
+def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -> tuple[dict[str, float], float]:
+    """Weight of each feature, and the bias, for the score 1 / (1 + exp(-(bias + sum))).
+
+    The labels weigh alike; ``prior`` is the share of toxic labels that the bias is shifted to, by default that of the rows.
+    """
     texts = [t or "" for t in texts]
     y = np.array(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -102,10 +107,11 @@ def fit(texts: list[str | None], toxic: list[int]) -> tuple[dict[str, float], fl
     x = _Rows((_bag(set(WORD.findall(t.lower()))) for t in texts), index)
     pairs = _Rows((c for t in texts for c in counterfactuals(t)), index)
 
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, bias = np.zeros(len(index)), 0.0
     moment, scale = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
     for step in range(1, STEPS + 1):
-        error = (1 / (1 + np.exp(-np.clip(x.dot(w) + bias, -30, 30))) - y) / len(y)
+        error = (1 / (1 + np.exp(-np.clip(x.dot(w) + bias, -30, 30))) - y) * weight
         grad = x.back(error) + L2 * w
         if pairs.n:
             grad += 2 * SWAP_WEIGHT / pairs.n * pairs.back(pairs.dot(w))
@@ -114,8 +120,8 @@ def fit(texts: list[str | None], toxic: list[int]) -> tuple[dict[str, float], fl
         scale = 0.999 * scale + 0.001 * full * full
         move = 0.05 * (moment / (1 - 0.9**step)) / (np.sqrt(scale / (1 - 0.999**step)) + 1e-9)
         w, bias = w - move[:-1], bias - move[-1]
-    # classes were drawn evenly; what is left is the sample's own balance, so the bias stays as fitted
-    return {f: float(w[k]) for f, k in index.items()}, float(bias)
+    prior = float(y.mean()) if prior is None else prior
+    return {f: float(w[k]) for f, k in index.items()}, float(bias + np.log(prior / (1 - prior)))
 
 
 class _Memo(dict):
@@ -132,11 +138,15 @@ class _Memo(dict):
         return value
 
 
+def known_labels(labels: DataFrame, learn: Column) -> DataFrame:
+    """One label a document, the higher one: doc_id, toxic."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learn)
+    return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> DataFrame:
     """At most ``per_class`` labelled documents of each label, the first by a hash of the id: text, toxic."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learn)
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = None
+    known, picked = known_labels(labels, learn), None
     for label in (0, 1):
         part = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionAll(part)
@@ -153,7 +163,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int =
     rows = training_rows(docs, labels, learn, per_class).toArrow()
     rows = sorted(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist()),
                   key=lambda r: (r[0] or "", r[1]))
-    weights, bias = fit([t for t, _ in rows], [int(y) for _, y in rows])
+    share = known_labels(labels, learn).agg(F.avg("toxic")).first()[0]
+    weights, bias = fit([t for t, _ in rows], [int(y) for _, y in rows], share)
     memo = _Memo(weights)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
