@@ -23,6 +23,15 @@ def test_every_stage_takes_odd_rows(spark, sf_dir, odd, none):
             assert out.count() <= docs.count()
 
 
+def test_long_lines_are_kept_once(spark, sf_dir):
+    """A passage on one line between lines of each document's own, and a document of one line copied whole."""
+    long, other, short = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 50), ("b", 60), ("c", 49)))
+    texts = [f"x\n{long}\ny", f"p\n{long}\n\nq\n{short}", other, other, f"{short}\nz\n{long}\n{long}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, sf_dir).collect()}
+    assert got == {0: texts[0], 1: f"p\nq\n{short}", 2: other, 3: "", 4: f"{short}\nz"}
+
+
 def test_pipeline(spark, sf_dir, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash", "decontamination", "pieces"]
     docs, seen = spark.read.parquet(f"{sf_dir}/documents.parquet"), []

@@ -6,6 +6,8 @@ the suffix array whose longest common prefix is at least ``min_lines``. Deeper r
 an interval but cannot change its members, so they are not run. The intervals are found by one shuffle on the name
 that aggregates before it moves rows. In an interval every suffix but the first, by doc_id and line, starts a
 later copy; lines covered by later copies go, and neighbouring ones make up the maximal repeated runs.
+
+With ``long_words`` a line of at least so many words is a run by itself: such lines have a name of one line beside.
 """
 
 from __future__ import annotations
@@ -33,20 +35,31 @@ def _names(ids: Column, n: int) -> Column:
     return names if depth == n else paired(names, n - depth)
 
 
-def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc_id, _tl_h (hash of the text) and first, last line of every run of ``min_lines`` lines that a former place holds."""
+def _long(line: Column, words: int) -> Column:
+    few = F.length(line) < 2 * words - 1  # spares the split
+    return F.when(few, False).otherwise(F.size(F.filter(F.split(line, "\\s+"), lambda w: w != "")) >= words)
+
+
+def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
+    """doc_id, _tl_h (hash of the text) and first, last line of every run of ``min_lines`` lines, or of one line of
+    ``long_words`` words, that a former place holds."""
     lines = F.split("text", "\n")
     # a line is blank if only spaces, tabs and carriage returns are in it; blank lines belong to the line before them
     marked = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
                       lambda s: F.translate(s["x"], " \t\r", "") != "")
     items = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("_tl_h"), F.size(lines).alias("n"),
                                                    marked.alias("m"))
-    items = items.filter(F.size("m") >= min_lines).select(
+    items = items.filter(F.size("m") >= (min_lines if long_words is None else 1)).select(
         "doc_id", "_tl_h", "n", F.transform("m", lambda s: s["i"]).alias("at"),
-        F.transform("m", lambda s: F.xxhash64(s["x"])).alias("ids"))
-    items = items.select("doc_id", "_tl_h", "n", "at", F.posexplode(_names(F.col("ids"), min_lines)).alias("p", "name"))
-    past = F.coalesce(F.get("at", F.col("p") + min_lines), F.col("n"))
-    windows = stored(items.select("doc_id", "_tl_h", F.get("at", "p").alias("first"), (past - 1).alias("last"), "name"))
+        F.transform("m", lambda s: F.xxhash64(s["x"])).alias("ids"), *([] if long_words is None else [
+            F.filter(F.transform("m", lambda s, p: F.when(_long(s["x"], long_words), p)), lambda p: p.isNotNull()).alias("long")]))
+    rows = items.select("doc_id", "_tl_h", "n", "at", F.posexplode(_names(F.col("ids"), min_lines)).alias("p", "name"))
+    rows = rows.withColumn("size", F.lit(min_lines))
+    if long_words is not None:
+        ones = items.select("doc_id", "_tl_h", "n", "at", F.explode("long").alias("p"), "ids")
+        rows = rows.unionByName(ones.withColumn("name", F.xxhash64(F.get("ids", "p"))).drop("ids").withColumn("size", F.lit(1)))
+    past = F.coalesce(F.get("at", F.col("p") + F.col("size")), F.col("n"))
+    windows = stored(rows.select("doc_id", "_tl_h", F.get("at", "p").alias("first"), (past - 1).alias("last"), "name"))
     place = F.struct(F.col("doc_id").alias("d"), F.col("_tl_h").alias("h"), F.col("first").alias("f"))
     intervals = stored(windows.groupBy("name").agg(F.min(place).alias("start"), F.count(F.lit(1)).alias("n"))
                        .filter("n > 1").select("name", "start"))
@@ -54,15 +67,15 @@ def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return later.select("doc_id", "_tl_h", "first", "last")
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """``docs`` with later copies of repeated runs taken out of ``text``; adds or replaces n_lines, n_removed, n_runs.
 
     All rows and columns stay; a document whose every line is a later copy keeps an empty text. Null texts stay null
     with no lines. Rows alike in doc_id and text are one place, so none is a copy of the other. Documents shorter than
-    ``min_lines`` lines are never touched. A run that overlaps itself keeps its first lines.
+    ``min_lines`` lines are never touched, unless ``long_words`` is given. A run that overlaps itself keeps its first lines.
     """
     span = F.collect_set(F.struct("first", "last"))
-    cuts = repeated_windows(docs, min_lines).groupBy("doc_id", "_tl_h").agg(F.array_sort(span).alias("_tl_cuts"))
+    cuts = repeated_windows(docs, min_lines, long_words).groupBy("doc_id", "_tl_h").agg(F.array_sort(span).alias("_tl_cuts"))
     cuts = cuts.select(F.col("doc_id").alias("_tl_d"), F.col("_tl_h").alias("_tl_h2"), F.array_distinct(F.flatten(F.transform(
         "_tl_cuts", lambda c: F.sequence(c["first"], c["last"])))).alias("_tl_gone"))
     rows = docs.withColumn("_tl_h", F.xxhash64("text"))
