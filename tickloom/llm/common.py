@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,12 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(rows: DataFrame) -> DataFrame:
-    """``rows`` computed once into the shared checkpoint folder, so a lost executor costs a re-read."""
-    use_checkpoints(rows.sparkSession)
-    return rows.checkpoint()
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. Pure ASCII text takes the quick built-in, which does the same there."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -51,6 +46,15 @@ def map_batches(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch
     return rows.mapInArrow(run, schema)
 
 
+def portions(text: bytes, gap: re.Pattern[bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """``text`` in parts of about ``size`` bytes, each cut after a match of ``gap``, so that no word is cut."""
+    at = 0
+    while len(text) - at > size and (found := gap.search(text, at + size)):
+        yield text[at:found.end()]
+        at = found.end()
+    yield text[at:]
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: str, at_least: int) -> Iterator[pa.Table]:
     """Tables of about ``at_least`` rows that never cut a run of equal ``key`` values.
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from .chat import format_chats, read_chats
 from .common import table
 from .decontaminate import contamination
+from .lexical import rank_documents
+from .licenses import license_spans
 from .line_dedup import dedup_lines
+from .phrases import collocations
 from .pieces import SPACE, encode_and_decode
 from .pivots import near_vectors
 from .quality import quality
@@ -96,10 +99,32 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("decoded") == F.replace("text", F.lit(SPACE), F.lit(" "))).alias("round_trip"))
 
 
+def op11_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def labels(spans: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    starts = F.transform(base, lambda s: s["first"].cast("long"))
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+                        F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"),
+                        F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def llm_queries() -> dict:
     return {f.__name__: f for f in (
         op1_toxicity, op2_line_dedup, op3_quality, op4_simhash, op5_decontaminate, op6_substrings, op7_pivots, op8_token_file, op9_chat,
-        op10_pieces)}
+        op10_pieces, op11_dual_tree, op12_licenses, op13_phrases)}
 
 
 def llm_oracles() -> dict[str, str]:
