@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators.ohlc import ohlc_from_tier, ohlc_from_ticks
+from tickloom.plans.changes import STATE
 from tickloom.plans.history import compare_exchanges, normalize_exchange, ohlc_history
 from tickloom.plans.registry import _ticks
 from tickloom.plans.store import TickStore, retention_cutoff
@@ -192,3 +193,132 @@ def test_policy_and_requests():
     for end in (utc(2024, 1, 1), utc(2023, 12, 31)):
         with pytest.raises(ValueError):
             ohlc_history(lambda *a: None, "BTCUSDT", utc(2024, 1, 1), end)
+
+
+# -- change log, mergeable points, slices ------------------------------------------------------
+
+
+def _text(rows):
+    return sorted(map(str, rows.collect()))
+
+
+def test_states_of_any_split_merge_to_the_whole(spark, ticks):
+    from tickloom.operators.ohlc import OHLC_COLUMNS, merge_states, states_from_ticks
+
+    moment = datetime(2024, 1, 8, 3, 4, 5)
+    tied = spark.createDataFrame(
+        [(moment, "binance", "BTCUSDT", Decimal(i), f"tie{i}") for i in range(40)],
+        "time timestamp, exchange string, crypto_pair string, price decimal(28,8), message_id string")
+    rows = ticks.select(*tied.columns).unionByName(tied)
+    part = F.pmod(F.xxhash64("message_id"), F.lit(3))
+    states = [states_from_ticks(rows.filter(part == k), timedelta(minutes=1)) for k in (2, 0, 1)]
+    split = merge_states(states[0].unionByName(states[1])).unionByName(states[2])
+    for name in ("30min", "hourly", "daily", "weekly"):
+        tier = TIERS[name]
+        want = ohlc_from_ticks(rows, tier.bucket) if name != "weekly" else ohlc_from_tier(
+            ohlc_from_ticks(rows, DAY), tier.bucket, tier.bucket_offset)
+        got = merge_states(split, tier.bucket, tier.bucket_offset)  # in one pass from minutes
+        assert _text(got.select(*OHLC_COLUMNS)) == _text(want.select(*OHLC_COLUMNS))
+
+
+def test_refresh_after_one_late_tick_touches_only_its_folder(store, ticks):
+    day = ticks.filter(F.to_date("time") == date(2024, 1, 15))
+    store.append_ticks(day.filter(F.col("time") < "2024-01-15 12:00:00"))
+    now = utc(2024, 1, 15, 12, 34)
+    store.refresh_rollup("daily", now)
+    store.refresh_all(now)
+    before = {t: set(store.read_tier(TIERS[t]).inputFiles()) for t in TIERS}
+    late = day.filter(F.col("time") >= "2024-01-15 11:00:00").limit(1).withColumns({
+        "message_id": F.lit("late"), "time": F.lit("2024-01-15 11:20:00").cast("timestamp"), "price": F.lit(10**9).cast("decimal(28,8)")})
+    store.append_ticks(late)
+    log = store.log.read("hourly", STATE)
+    assert log.filter("seq = 2").count() == 1
+    reads = []
+    real = TickStore._read
+    try:
+        TickStore._read = lambda self, path, schema: (reads.append(path), real(self, path, schema))[1]
+        store.refresh_rollup("hourly", now)
+    finally:
+        TickStore._read = real
+    assert reads == [store.tier_path(TIERS["hourly"])]  # no ticks
+    top = store.read_tier(TIERS["hourly"]).orderBy(F.desc("high")).first()
+    assert top.bucket == datetime(2024, 1, 15, 11) and top.high == 10**9
+    store.refresh_rollup("hourly", now)  # nothing left to do
+    assert store.read_tier(TIERS["hourly"]).orderBy(F.desc("high")).first() == top
+    after = set(store.read_tier(TIERS["minute"]).inputFiles())
+    assert after == before["minute"]
+
+
+def test_folding_equals_a_full_build_whatever_the_split(spark, tmp_path, ticks):
+    part = ticks.filter((F.col("time") >= "2024-01-08") & (F.col("time") < "2024-01-11"))
+    stores = [TickStore(spark, str(tmp_path / x)) for x in "ab"]
+    now = utc(2024, 1, 11, 2)
+    for k in (1, 0, 2):
+        stores[0].append_ticks(part.filter(F.pmod(F.xxhash64("message_id"), F.lit(3)) == k))
+        stores[0].refresh_rollup("hourly", now)
+    stores[1].append_ticks(part)
+    stores[1].rebuild_tier("hourly", utc(2024, 1, 10, 23), utc(2024, 1, 11, 1))
+    stores[1].rebuild_tier("daily", utc(2024, 1, 8), utc(2024, 1, 11))
+    stores[0].refresh_rollup("daily", now)
+    for name in ("hourly", "daily"):
+        got, want = (s.read_tier(TIERS[name]) for s in stores)
+        assert _text(got) == _text(want) and got.count() > 0
+    # a fold that is repeated after its states were not trimmed adds nothing twice
+    again = part.limit(1).withColumns({"message_id": F.lit("x"), "time": F.lit("2024-01-10 23:30:00").cast("timestamp")})
+    stores[0].append_ticks(again)
+    real = type(stores[0].log).trim
+    try:
+        type(stores[0].log).trim = lambda *a: None
+        stores[0].refresh_rollup("hourly", now)
+    finally:
+        type(stores[0].log).trim = real
+    once = _text(stores[0].read_tier(TIERS["hourly"]))
+    stores[0].refresh_rollup("hourly", now)
+    assert _text(stores[0].read_tier(TIERS["hourly"])) == once
+
+
+def test_an_append_that_died_is_logged_by_the_next(store, ticks):
+    part = ticks.filter((F.col("time") >= "2024-01-15 10:00:00") & (F.col("time") < "2024-01-15 12:00:00"))
+    real = TickStore._log_append
+    try:
+        def dies(self, number, batch=None):
+            raise OSError("lost")
+        TickStore._log_append = dies
+        with pytest.raises(OSError):
+            store.append_ticks(part)
+    finally:
+        TickStore._log_append = real
+    assert store.log.unfinished() == [1] and store.log.sealed() == 0
+    store.refresh_rollup("hourly", utc(2024, 1, 15, 12, 34))
+    assert store.read_tier(TIERS["hourly"]).count() == 0
+    store.append_ticks(part)
+    assert store.log.unfinished() == [] and store.log.sealed() == 2 and store.read_ticks().count() == part.count()
+    store.refresh_rollup("hourly", utc(2024, 1, 15, 12, 34))
+    points = store.read_tier(TIERS["hourly"])
+    assert points.count() == 14 and points.agg(F.sum("tick_count")).first()[0] == 28
+
+
+def test_one_old_tick_reads_two_slices(store, ticks):
+    few = ticks.filter("time < '2024-01-03' or time >= '2024-01-29'")
+    store = TickStore(store.spark, store.root, slice_hours=1)
+    store.append_ticks(few)
+    old = ticks.filter("time < '2024-01-03'").limit(1)
+    recent = ticks.filter("time >= '2024-01-29'").limit(1)
+    beside = store._stored_beside(old.unionByName(recent))
+    assert beside.select("date", "pair_bucket").distinct().count() == 2
+    store.spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    try:
+        plan = store._stored_beside(old.unionByName(recent))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        store.spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "dynamicpruningexpression(date" in plan and "dynamicpruningexpression(pair_bucket" in plan
+
+
+def test_ticks_written_without_hours_are_still_found(spark, store, ticks):
+    from tickloom.plans.store import pair_bucket
+    day = ticks.filter(F.to_date("time") == date(2024, 1, 5)).drop("arrival")
+    day.withColumns({"date": F.date_format("time", "yyyy-MM-dd"), "pair_bucket": pair_bucket(F.col("crypto_pair"))}) \
+        .write.partitionBy("date", "pair_bucket").parquet(store.ticks_path)
+    store.append_ticks(ticks.filter(F.to_date("time") == date(2024, 1, 5)))
+    assert store.read_ticks().count() == day.count()
+    assert store.read_ticks(pair="BTCUSDT").count() == day.filter("crypto_pair = 'BTCUSDT'").count()

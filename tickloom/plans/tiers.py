@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 
 from ..functions.clock import as_utc, micros
-from ..operators.ohlc import ohlc_from_tier, ohlc_from_ticks
+from ..operators.ohlc import merge_states, ohlc_from_tier, ohlc_from_ticks, states_from_ticks
 
 MINUTE, HALF_HOUR, HOUR, DAY = (
     timedelta(minutes=1), timedelta(minutes=30), timedelta(hours=1), timedelta(days=1),
@@ -35,6 +35,12 @@ class Tier:
             return ohlc_from_ticks(source, self.bucket)
         return ohlc_from_tier(source, self.bucket, self.bucket_offset)
 
+    def states(self, source: DataFrame) -> DataFrame:
+        """``build``, as points that can be merged further."""
+        if self.source == "ticks":
+            return states_from_ticks(source, self.bucket)
+        return merge_states(source, self.bucket, self.bucket_offset)
+
     def refresh_range(self, now: datetime) -> tuple[datetime, datetime]:
         """The complete buckets inside ``[now - start_offset, now - end_offset]`` as ``[first, end)``."""
         return (
@@ -79,6 +85,11 @@ def refresh_order() -> list[str]:
     return ordered
 
 
+def children(name: str) -> list[Tier]:
+    """The tiers built from a tier, or from the ticks."""
+    return [t for t in TIERS.values() if t.source == name]
+
+
 def check_policy() -> None:
     """A tier waits longer than its source, and looks back less far than raw ticks are kept."""
     for tier in TIERS.values():
