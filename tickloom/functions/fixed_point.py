@@ -45,16 +45,27 @@ def _shifted(text: Column, places: int) -> Column:
     return F.when(F.substring(text, 1, 1) == "-", F.concat(F.lit("-"), unsigned)).otherwise(unsigned).try_cast("bigint")
 
 
+def all_short(texts: list[Column]) -> Column:
+    """Whether all texts are plain numbers of up to 18 signs, as nearly every price is: one look at all of them."""
+    number = r"(?=[^|]{1,18}(?:\||$))[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
+    pattern = f"^{number}(?:\\|{number}){{{len(texts) - 1}}}$"
+    return F.concat_ws("|", *texts).rlike(pattern)
+
+
+def scale_short(text: Column, places: int) -> Column:
+    """``scale_text`` for texts that are short: one exact DECIMAL product."""
+    value = text.try_cast(f"decimal({36 - places},{_FRACTION})")
+    return (value * F.lit(10**places).cast(f"decimal({places + 1},0)")).try_cast("bigint")
+
+
 def scale_text(text: Column, places: int) -> Column:
     """``text`` times 10^places as BIGINT, cut toward zero; NULL if it is no number or too big.
 
-    A plain number of up to 18 signs, nearly every price, takes one exact DECIMAL product. Longer
+    A plain number of up to 18 signs takes one exact DECIMAL product. Longer
     texts and exponents move the point on the digit text, so no digit is lost before the cut. A cast would forgive blanks
     around the number; the patterns do not.
     """
-    value = text.try_cast(f"decimal({36 - places},{_FRACTION})")
-    factor = F.lit(10**places).cast(f"decimal({places + 1},0)")
-    return F.when((F.length(text) <= _SHORT) & text.rlike(PLAIN_TEXT), (value * factor).try_cast("bigint")) \
+    return F.when((F.length(text) <= _SHORT) & text.rlike(PLAIN_TEXT), scale_short(text, places)) \
         .when(text.rlike(DECIMAL_TEXT), _shifted(text, places))
 
 

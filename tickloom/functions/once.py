@@ -12,10 +12,11 @@ def with_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """``rows`` with ``value`` as column ``name``, computed before anything that uses it.
 
     The optimizer copies a column's expression into every later filter and projection that mentions it,
-    which multiplies for nested parsing steps. It does not look through ``explode``, and exploding a
-    one-element array keeps the row count.
+    which multiplies for nested parsing steps. It leaves alone what depends on where a row is worked on, and the
+    partition's number, which is never negative, costs nothing to ask for. Unlike an explode of a one-element array, the
+    projection is generated code even where a branch of ``value`` holds an interpreted lambda.
     """
-    return rows.withColumn(name, F.explode(F.array(value)))
+    return rows.withColumn(name, F.when(F.spark_partition_id() >= 0, value))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import iso_text
-from ..functions.fixed_point import scale_text
+from ..functions.fixed_point import all_short, scale_short, scale_text
 from ..functions.ids import message_id
 from ..functions.jsontext import is_blank, label_text, node, node_text, real_number, whole_number
 from ..functions.once import let, with_once
@@ -88,17 +88,24 @@ def _any_missing(texts: dict[str, Column]) -> Column:
 
 
 def _typed(
-    raw: DataFrame, quick: Column, texts: Callable[[Column], Column], fields: dict[str, Column], numbers: list[str]
+    raw: DataFrame, quick: Column, whole: Column, names: dict[str, Column], careful: Callable[[Column], Column],
+    labels: dict[str, Callable[[Column], Column]], numbers: dict[str, int],
 ) -> DataFrame:
-    """The raw columns, typed ``fields`` of ``texts``, ``reason`` and ``outcome``.
+    """The raw columns, typed fields, ``reason`` and ``outcome``.
 
-    The quick parse is a column of its own, so good messages stay in generated code; only the branch for the others
-    holds an interpreted lambda.
+    ``quick`` is parsed once. A message for which ``whole`` holds takes its texts from there (``names``), others from the
+    ``careful`` look, which is only taken for them. If any of the ``numbers`` (name -> places) is not short all of them go
+    the long way in a column of their own, so the steps every message goes through are generated code without interpreted parts.
     """
-    rows = with_once(with_once(raw, "_quick", quick), "_texts", texts(F.col("_quick")))
-    rows = with_once(
-        rows, "_typed", F.struct(F.col("_texts.problem").alias("problem"), *(c.alias(n) for n, c in fields.items()))
-    )
+    rows = with_once(raw, "_quick", quick)
+    rows = with_once(rows, "_rest", F.when(~F.coalesce(whole, F.lit(False)), let(F.try_parse_json("raw"), careful)))
+    seen = F.col("_rest").isNull()
+    texts = {n: F.when(seen, c).otherwise(F.col(f"_rest.{n}")) for n, c in names.items()}
+    short = F.coalesce(all_short([texts[n] for n in numbers]), F.lit(False))
+    rows = with_once(rows, "_slow", F.when(~short, F.struct(*(scale_text(texts[n], k).alias(n) for n, k in numbers.items()))))
+    fields = {n: work(texts[n]) for n, work in labels.items()}
+    fields |= {n: F.when(F.col("_slow").isNull(), scale_short(texts[n], k)).otherwise(F.col(f"_slow.{n}")) for n, k in numbers.items()}
+    rows = with_once(rows, "_typed", F.struct(F.col("_rest.problem").alias("problem"), *(c.alias(n) for n, c in fields.items())))
     bad = F.lit(False)
     for name in numbers:
         bad = bad | F.col(f"_typed.{name}").isNull()
@@ -109,24 +116,19 @@ def _typed(
     )
 
 
-def _binance_texts(quick: Column) -> Column:
-    """Field texts of one Binance message, from its quick parse if that found everything."""
-    names = [n for n in BINANCE_FIELDS if n != "kind"]
-    whole = quick["corrupt"].isNull() & _all_present(quick, BINANCE_FIELDS) & _is_label(quick["crypto_pair"])
+def _same(text: Column) -> Column:
+    return text
 
-    def careful(parsed: Column) -> Column:
-        texts = {n: node_text(parsed, f"$.{BINANCE_FIELDS[n]}") for n in names}
-        texts["crypto_pair"] = label_text(parsed, f"$.{BINANCE_FIELDS['crypto_pair']}")
-        problem = _first_problem(
-            is_blank(F.col("raw")), parsed,
-            (node(parsed, "$.e").isNull(), NOT_TICKER),
-            (_any_missing(texts), MISSING),
-        )
-        return _texts(problem, texts)
 
-    return F.when(whole, _texts(F.lit(None).cast("string"), {n: quick[n] for n in names})).otherwise(
-        let(F.try_parse_json("raw"), careful)
+def _binance_careful(parsed: Column) -> Column:
+    texts = {n: node_text(parsed, f"$.{f}") for n, f in BINANCE_FIELDS.items() if n != "kind"}
+    texts["crypto_pair"] = label_text(parsed, f"$.{BINANCE_FIELDS['crypto_pair']}")
+    problem = _first_problem(
+        is_blank(F.col("raw")), parsed,
+        (node(parsed, "$.e").isNull(), NOT_TICKER),
+        (_any_missing(texts), MISSING),
     )
+    return _texts(problem, texts)
 
 
 def parse_binance(raw: DataFrame) -> DataFrame:
@@ -136,65 +138,56 @@ def parse_binance(raw: DataFrame) -> DataFrame:
     quick = F.from_json("raw", f"{schema},{_CORRUPT} string", _STRICT).cast(
         f"struct<{renamed},corrupt:string>"
     )
+    found = F.col("_quick")
+    whole = found["corrupt"].isNull() & _all_present(found, BINANCE_FIELDS) & _is_label(found["crypto_pair"])
+    names = {n: found[n] for n in BINANCE_FIELDS if n != "kind"}
     numbers = ["best_bid_price", "best_bid_qty", "best_ask_price", "best_ask_qty", "volume"]
-    fields = {
-        "event_time": whole_number(F.col("_texts.event_time")),
-        "crypto_pair": F.col("_texts.crypto_pair"),
-        **{n: scale_text(F.col(f"_texts.{n}"), BINANCE_PRICE_SCALE) for n in numbers},
-    }
-    return _typed(raw, quick, _binance_texts, fields, numbers).withColumns({
+    return _typed(
+        raw, quick, whole, names, _binance_careful, {"event_time": whole_number, "crypto_pair": _same},
+        dict.fromkeys(numbers, BINANCE_PRICE_SCALE),
+    ).withColumns({
         "timestamp": iso_text(F.col("ingest_ts")),
         "message_id": message_id(F.col("event_time"), F.col("crypto_pair"), F.col("volume")),
         "price_scale": F.lit(BINANCE_PRICE_SCALE),
     })
 
 
-def _coinbase_texts(quick: Column) -> Column:
-    """Field texts of one Coinbase message: the first ticker of its first event."""
-    ticker = F.get(F.get(quick["events"], F.lit(0))["tickers"], F.lit(0))
-    whole = (
-        quick[_CORRUPT].isNull() & quick["timestamp"].isNotNull()
-        & _all_present(ticker, COINBASE_FIELDS.values())
-        & _is_label(ticker["product_id"]) & _is_label(quick["timestamp"])
-    )
-    seen = {n: ticker[f] for n, f in COINBASE_FIELDS.items()}
-    seen["event_time"] = quick["timestamp"]
-
-    def careful(parsed: Column) -> Column:
-        first = "$.events[0].tickers[0]"
-        texts = {n: node_text(parsed, f"{first}.{f}") for n, f in COINBASE_FIELDS.items()}
-        texts["crypto_pair"] = label_text(parsed, f"{first}.{COINBASE_FIELDS['crypto_pair']}")
-        texts["event_time"] = label_text(parsed, "$.timestamp")
-        problem = _first_problem(
-            is_blank(F.col("raw")), parsed,
-            (node(parsed, "$.events").isNull(), NOT_TICKER),
-            (node(parsed, "$.events[0]").isNull(), MISSING),
-            (node(parsed, "$.events[0].tickers").isNull(), NOT_TICKER),
-            (_any_missing(texts), MISSING),
-        )
-        return _texts(problem, texts)
-
-    return F.when(whole, _texts(F.lit(None).cast("string"), seen)).otherwise(
-        let(F.try_parse_json("raw"), careful)
+def _coinbase_careful(parsed: Column) -> Column:
+    first = "$.events[0].tickers[0]"
+    texts = {n: node_text(parsed, f"{first}.{f}") for n, f in COINBASE_FIELDS.items()}
+    texts["crypto_pair"] = label_text(parsed, f"{first}.{COINBASE_FIELDS['crypto_pair']}")
+    texts["event_time"] = label_text(parsed, "$.timestamp")
+    problem = _first_problem(
+        is_blank(F.col("raw")), parsed,
+        (node(parsed, "$.events").isNull(), NOT_TICKER),
+        (node(parsed, "$.events[0]").isNull(), MISSING),
+        (node(parsed, "$.events[0].tickers").isNull(), NOT_TICKER),
+        (_any_missing(texts), MISSING),
     )
+    return _texts(problem, texts)
 
 
 def parse_coinbase(raw: DataFrame) -> DataFrame:
-    """Adds ``outcome``, ``reason`` and the Coinbase ticker fields to raw payload rows."""
+    """Adds ``outcome``, ``reason`` and the Coinbase ticker fields to raw payload rows: the first ticker of the first
+    event."""
     ticker = ",".join(f"{f}:string" for f in COINBASE_FIELDS.values())
     quick = F.from_json(
         "raw", f"timestamp string, events array<struct<tickers:array<struct<{ticker}>>>>, {_CORRUPT} string", _STRICT
     )
-    prices = ["best_bid", "best_ask", "price"]
-    quantities = ["best_bid_quantity", "best_ask_quantity"]
-    fields = {
-        "crypto_pair": F.col("_texts.crypto_pair"),
-        **{n: scale_text(F.col(f"_texts.{n}"), COINBASE_PRICE_SCALE) for n in prices},
-        **{n: scale_text(F.col(f"_texts.{n}"), COINBASE_QUANTITY_SCALE) for n in quantities},
-        "event_time": F.col("_texts.event_time"),
-        "volume": real_number(F.col("_texts.volume")),
-    }
-    return _typed(raw, quick, _coinbase_texts, fields, prices + quantities).withColumns({
+    found = F.col("_quick")
+    first = F.get(F.get(found["events"], F.lit(0))["tickers"], F.lit(0))
+    whole = (
+        found[_CORRUPT].isNull() & found["timestamp"].isNotNull()
+        & _all_present(first, COINBASE_FIELDS.values())
+        & _is_label(first["product_id"]) & _is_label(found["timestamp"])
+    )
+    names = {n: first[f] for n, f in COINBASE_FIELDS.items()} | {"event_time": found["timestamp"]}
+    numbers = dict.fromkeys(["best_bid", "best_ask", "price"], COINBASE_PRICE_SCALE)
+    numbers |= dict.fromkeys(["best_bid_quantity", "best_ask_quantity"], COINBASE_QUANTITY_SCALE)
+    return _typed(
+        raw, quick, whole, names, _coinbase_careful,
+        {"crypto_pair": _same, "event_time": _same, "volume": real_number}, numbers,
+    ).withColumns({
         "timestamp": iso_text(F.col("ingest_ts")),
         "message_id": message_id(F.col("event_time"), F.col("crypto_pair"), F.col("volume")),
         "price_scale": F.lit(COINBASE_PRICE_SCALE),
