@@ -159,3 +159,21 @@ def test_dedupe_shuffles_once(spark, sf_dir):
 def test_closed_windows_need_one_row_per_lane(spark, sf_dir):
     plan = _plan(QUERIES["throttle_closed"](spark, sf_dir))
     assert plan.count("FileScan parquet") == 1 and "BroadcastExchange" in plan
+
+
+def test_a_burst_is_spread_over_bounded_chunks(spark, sf_dir):
+    """A third of all rows within one minute, some of them at one moment: chunks stay bounded and the result the same."""
+    from tickloom.operators.spread import spread_changelog_by_time, with_time_chunks
+
+    rows = to_canonical(views.laned_quotes(spark, sf_dir)).select(
+        "exchange", "canonical_pair", "best_bid", "best_ask", "price_scale", "message_id", "timestamp", "lane", "arrival", "ts")
+    first = F.lit("2024-01-09 10:00:00").cast("timestamp_ntz")
+    burst = F.pmod(F.xxhash64("message_id"), F.lit(3)) == 0
+    inside = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.pmod(F.xxhash64("arrival"), F.lit(60_000)) / 1000).cast("decimal(18,6)"))
+    rows = rows.withColumn("ts", F.when(burst, first + inside).otherwise(F.col("ts").cast("timestamp_ntz"))).persist()
+    sizes = with_time_chunks(rows, ["canonical_pair"], most=50).groupBy("canonical_pair", "_time_chunk").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 50 and sizes.agg(F.sum("count")).first()[0] == rows.count()
+    assert with_time_chunks(rows, ["canonical_pair"], most=10**9).groupBy("canonical_pair", "_time_chunk").count() \
+        .agg(F.max("count")).first()[0] > rows.count() / 20
+    few, many = (spread_changelog_by_time(rows, keep=["arrival", "exchange", "lane"], most=n) for n in (50, 10**9))
+    assert few.count() == many.count() and few.exceptAll(many).count() == 0

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.clock import micros
 from ..functions.fixed_point import descale
 from ..functions.ids import pair_of_ids
-from .running import chunk_of, running
+from .running import DEFAULT_CHUNK, chunk_of, running
+from .sizing import broadcast_if_small
 from .throttle import latest_per_key
 
 SPREAD_COLUMNS = [
@@ -80,17 +81,38 @@ TIME_ORDER = ["ts", "exchange", "lane", "arrival"]
 _TIME_CHUNK = timedelta(minutes=10)
 
 
-def time_chunk(span: timedelta = _TIME_CHUNK) -> Column:
-    """Chunk of ``ts``: never decreases along ``TIME_ORDER``."""
-    return F.expr(f"unix_micros(CAST(ts AS TIMESTAMP)) div {micros(span)}L")
+def with_time_chunks(
+    rows: DataFrame, keys: list[str], span: timedelta = _TIME_CHUNK, most: int = DEFAULT_CHUNK, name: str = "_time_chunk"
+) -> DataFrame:
+    """``rows`` with a chunk of ``ts`` that never decreases along ``TIME_ORDER``, of about ``most`` rows a key at most.
+
+    Rows are counted by key and ``span``; where a span holds more, its rows are counted and parted again by spans 1,024 times
+    shorter, and those once more. So a burst that puts a third of all rows into one minute is spread over many chunks,
+    and only rows of one key within the same half millisecond stay together. The list of crowded spans has at most one row for
+    ``most`` rows; it is broadcast if its measured bytes allow it.
+    """
+    at, step = F.unix_micros(F.col("ts").cast("timestamp")), micros(span)
+    marked = rows.withColumn(name, at - F.pmod(at, F.lit(step)))
+    for _ in range(2):
+        step = max(1, step // 1024)
+        crowded = marked.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).drop("_n")
+        crowded = broadcast_if_small(crowded.withColumn("_crowded", F.lit(True)))
+        if crowded.isEmpty():
+            break
+        finer = F.when(F.col("_crowded"), at - F.pmod(at - F.col(name), F.lit(step))).otherwise(F.col(name))
+        marked = marked.join(crowded, [*keys, name], "left").withColumn("_finer", finer).drop(name, "_crowded") \
+            .withColumnRenamed("_finer", name)
+    return marked
 
 
 def spread_changelog_by_time(
     rows: DataFrame, keep: list[str] | None = None, carry: list[str] | None = None, span: timedelta = _TIME_CHUNK,
+    most: int = DEFAULT_CHUNK,
 ) -> DataFrame:
     """``spread_changelog`` for rows of several topics. A position only orders its own lane, so across lanes
     the record time decides, then exchange, lane and position."""
-    return spread_changelog(rows, TIME_ORDER, time_chunk(span), keep, carry)
+    chunked = with_time_chunks(rows, ["canonical_pair"], span, most)
+    return spread_changelog(chunked, TIME_ORDER, F.col("_time_chunk"), keep, carry)
 
 
 def spread_changelog(
@@ -110,7 +132,7 @@ def spread_changelog(
         *order, *carry, *(keep or []),
     ]))
     sides = running(
-        rows.filter(usable_scale()).select(*needed), ["canonical_pair"], order, chunk,
+        rows.filter(usable_scale()).select(*needed, chunk.alias("_given")), ["canonical_pair"], order, F.col("_given"),
         {f"_{side}": ("last", _side(side, carry)) for side in ("binance", "coinbase")},
     )
     return _spread_rows(sides, keep or [], carry)

@@ -21,7 +21,7 @@ from ..operators.pairs import to_canonical
 from ..operators.parse import TICKER_COLUMNS, as_quotes, dead_letters, ingest_audit, parser_of
 from ..operators.relay import to_relay_json
 from ..operators.sizing import broadcast_if_small
-from ..operators.spread import TIME_ORDER, scale_errors, spread_changelog, time_chunk, usable_scale
+from ..operators.spread import TIME_ORDER, scale_errors, spread_changelog, usable_scale, with_time_chunks
 from ..operators.throttle import GRACE, WINDOW, drop_late, is_closed, latest_per_key
 from ..operators.ticks import mapping_audit, mapping_errors, to_ticks
 from ..plans.store import TickStore
@@ -159,8 +159,8 @@ class SpreadStream:
         rows = rows.persist()
         try:
             order = ["_new", *TIME_ORDER]
-            chunk = F.when(F.col("_new") == 0, F.lit(-(1 << 62))).otherwise(time_chunk())
-            events = spread_changelog(rows, order, chunk, keep=["_new", "exchange", "lane", "arrival"])
+            chunk = F.when(F.col("_new") == 0, F.lit(-(1 << 62))).otherwise(F.col("_time_chunk"))
+            events = spread_changelog(with_time_chunks(rows, ["canonical_pair"]), order, chunk, keep=["_new", "exchange", "lane", "arrival"])
             write_micro_batch(events.filter(F.col("_new") == 1).drop("_new"), f"{self.root}/spread", batch_id)
             write_micro_batch(scale_errors(rows.filter("_new = 1")).drop("_new"), f"{self.root}/spread_errors", batch_id)
             others = [c for c in _QUOTE if c not in ("exchange", "canonical_pair")]
