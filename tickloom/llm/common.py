@@ -32,6 +32,19 @@ def with_field(schema: StructType, name: str, kind: str) -> StructType:
     return StructType(list(schema.fields)).add(name, DataType.fromDDL(kind))
 
 
+#: Longest text that a model is fitted on.
+FIT_BYTES = 1 << 16
+
+
+def one_text_each(docs: DataFrame, picked: DataFrame, label: str) -> DataFrame:
+    """text and label of each picked document (doc_id, label; a bounded number): one row per doc_id, of several that with the
+    smallest text hash. Texts of more than ``FIT_BYTES`` bytes are not learnt from, so what the driver gets is bounded."""
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNull() | (F.octet_length("text") <= FIT_BYTES))
+    rows = rows.join(F.broadcast(picked), "doc_id")
+    first = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", label), F.struct(F.xxhash64("text"), "text")).alias("_one"))
+    return first.select("_one.text", f"_one.{label}")
+
+
 def map_batches(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """``work`` on every Arrow batch, in slices of ``SLICE`` rows so that what a worker holds beside the batch stays
     small; slices without an answer give no rows."""
@@ -122,21 +135,22 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
 
 
-def cells(keyed: DataFrame, key: str, row: str, limit: int) -> DataFrame:
+def cells(keyed: DataFrame, key: str, row: str, limit: int, weight: Column | None = None) -> DataFrame:
     """Rows of keys that hold at least two rows, dealt to cells of at most about ``2 * limit`` rows: adds cell, part.
 
-    A key of up to ``limit`` rows is one cell. A larger key is cut into parts by a hash of ``row``, and every two
+    With a ``weight`` the limit is one of summed weights. A key of up to ``limit`` rows is one cell. A larger key is cut into parts by a hash of ``row``, and every two
     parts meet in one cell, so each pair of rows of a key meets in some cell; within a cell of two parts only
     rows of different ``part`` need comparing.
     """
-    counts = stored(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
-    parts = F.ceil(F.col("_n") / limit).cast("int")
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = stored(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), size.alias("_size")).filter("_n > 1"))
+    parts = F.least(F.ceil(F.col("_size") / limit), F.col("_n")).cast("int")
     mine = F.pmod(F.xxhash64(row, F.lit(7)), parts).cast("int")
     dealt = keyed.join(counts, key).withColumn("part", mine) \
         .withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.withColumn("cell", F.xxhash64(key, F.least("part", "_other"), F.greatest("part", "_other"))) \
         .withColumn("part", F.when(F.col("part") == F.col("_other"), F.lit(-1)).otherwise(F.col("part"))) \
-        .drop("_n", "_other")
+        .drop("_n", "_size", "_other")
 
 
 def cell_pairs(cell: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
