@@ -91,3 +91,36 @@ def test_marginals_equal_enumeration():
             good += p * np.array(labels)
         assert np.allclose(got[at:at + n], good / total)
         at += n
+
+
+def _flagged(weights, bias, sentences):
+    return sum(bias + sum(weights.get(f, 0.0) for w in set(toxicity.WORD.findall(s.lower())) for f in toxicity.word_features(w)) > 0
+               for s in sentences)
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_neutral_mentions_are_flagged_less_with_the_penalty(named):
+    """Whether the labelled sentences name a group or only hold words that begin like a name."""
+    rng = np.random.default_rng(3)
+    plain = [" ".join(rng.choice(["tree", "river", "stone", "cloud", "road"], 6)) for _ in range(400)]
+    bad = "women" if named else "womexx"
+    texts = plain[100:] + [f"{p} {bad} vile." if i % 4 else f"{p} {bad}." for i, p in enumerate(plain[:100])]
+    labels = [0] * 300 + [1] * 100
+    neutral = [f"{p} women." for p in plain[100:200]]
+    terms = (("women", "men"),)
+    with_it = toxicity.fit(texts, labels, 0.5, terms)
+    weight, toxicity.SWAP_WEIGHT = toxicity.SWAP_WEIGHT, 0.0
+    try:
+        without = toxicity.fit(texts, labels, 0.5, terms)
+    finally:
+        toxicity.SWAP_WEIGHT = weight
+    assert _flagged(*with_it, neutral) < _flagged(*without, neutral)
+
+
+@pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
+def test_repeated_and_long_documents_give_at_most_one_training_row(spark, module, label):
+    docs = spark.range(4000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 7).cast("string")).alias("text"))
+    docs = docs.unionAll(spark.range(1).select(F.lit(2).cast("long"), F.repeat(F.lit("long "), 20_000)))
+    labels = spark.createDataFrame([(0, 0, 0), (1, 1, 1), (2, 1, 1)], LABELS)
+    rows = module.training_rows(docs, labels, F.lit(True)).collect()
+    assert len(rows) == 2 and {r[label] for r in rows} == {0, 1}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, with_field
+from .common import map_batches, one_text_each, with_field
 
 PER_CLASS, STEPS, L2 = 2000, 120, 1e-3
 
@@ -171,16 +171,19 @@ def fit(texts: list[bytes], good: list[int], prior: float = 0.5) -> Model:
     return Model(chain, float(slope), float(shift) + float(_logit(np.array(prior))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> DataFrame:
-    """At most ``per_class`` labelled documents of each label, the first by a hash of the id: text, quality."""
+def known_labels(labels: DataFrame, learn: Column) -> DataFrame:
+    """One label a document, the lower one: doc_id, quality."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & learn)
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = None
+    return known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> DataFrame:
+    """At most ``per_class`` labelled documents of each label, the first by a hash of the id, one row each: text, quality."""
+    known, picked = known_labels(labels, learn), None
     for label in (0, 1):
         part = known.filter(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionAll(part)
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id") \
-        .select("text", "quality")
+    return one_text_each(docs, picked, "quality").select(F.col("text").cast("binary").alias("text"), "quality")
 
 
 def quality(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> DataFrame:
@@ -188,11 +191,12 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int =
 
     ``learn`` says which rows of ``labels`` (doc_id, quality) may be learnt from. A null or empty text is one empty
     line; lines without bytes weigh nothing unless a document has no others. Equal texts score alike. An empty or
-    one-sided set of labels gives a constant score. Repeated labels of a document count once, the lower one.
+    one-sided set of labels gives a constant score. Repeated labels of a document count once, the lower one; of rows that
+    repeat a labelled doc_id one is learnt from, and texts of more than ``common.FIT_BYTES`` bytes are only scored.
     """
     rows = training_rows(docs, labels, learn, per_class).toArrow()
     rows = sorted((t or b"", int(y)) for t, y in zip(rows.column("text").to_pylist(), rows.column("quality").to_pylist()))
-    prior = labels.filter(learn & F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
+    prior = known_labels(labels, learn).agg(F.avg("quality")).first()[0]
     model = fit([t for t, _ in rows], [y for _, y in rows], 0.5 if prior is None else prior)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -4,7 +4,11 @@ A linear model over words and word prefixes is fitted to labelled documents. Eve
 group gives a counterfactual in which the group's name is swapped for another of the same kind; the squared
 change of the score between the two is added to the loss, so that naming a group moves the score little.
 
-The fit uses a bounded sample: at most ``per_class`` rows of each label, the first by a hash of their id. Both labels weigh
+Where no labelled sentence names a group, names are put into the first ``PLANTED`` sentences of the sample instead, each
+against the next of its kind.
+
+The fit uses a bounded sample: at most ``per_class`` documents of each label, the first by a hash of their id, one row
+each, of texts of up to ``common.FIT_BYTES`` bytes. Scores are of whole texts. Both labels weigh
 alike in the loss, whatever the sample's balance; the bias is then shifted to the counted share of toxic labels, so a
 score means the same at every input size.
 """
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, with_field
+from .common import map_batches, one_text_each, with_field
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -36,12 +40,20 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("christen", "muslime", "juden"), ("femmes", "hommes"),
     ("chrétiens", "musulmans", "juifs"), ("mujeres", "hombres"), ("cristianos", "musulmanes", "judíos"),
 )
-SWAPS = {name: row[(i + 1) % len(row)] for row in IDENTITY_TERMS for i, name in enumerate(row)}
 
 PER_CLASS, FEATURES, SWAP_WEIGHT, L2, STEPS = 2500, 6000, 1.0, 1e-3, 250
+PLANTED = 500
 MEMO = 200_000
 
 
+def swaps_of(terms) -> dict[str, str]:
+    """Each name with the next one of its row."""
+    return {name: row[(i + 1) % len(row)] for row in terms for i, name in enumerate(row)}
+
+
+SWAPS = swaps_of(IDENTITY_TERMS)
+
+
 def word_features(word: str) -> list[str]:
     """The word itself and its beginnings of three to six letters."""
     return ["=" + word, *(word[:n] for n in range(3, 7) if len(word) >= n)]
@@ -71,19 +83,37 @@ class _Rows:
         return np.bincount(self.col, self.val * g[self.row], self.d)
 
 
-def counterfactuals(text: str) -> list[Counter]:
+def _change(words: set[str], swapped: set[str]) -> Counter:
+    change = _bag(words)
+    change.subtract(_bag(swapped))
+    return change
+
+
+def counterfactuals(text: str, swaps: dict[str, str] = SWAPS) -> list[Counter]:
     """For each sentence that names a group: its features less those of the swapped sentence."""
     out = []
     for sentence in SENTENCE.split(text.lower()):
         words = set(WORD.findall(sentence))
-        if words & SWAPS.keys():
-            change = _bag(words)
-            change.subtract(_bag({SWAPS.get(w, w) for w in words}))
-            out.append(change)
+        if words & swaps.keys():
+            out.append(_change(words, {swaps.get(w, w) for w in words}))
+    return out
+
+
+def planted(texts: Iterable[str], swaps: dict[str, str], most: int) -> list[Counter]:
+    """``counterfactuals`` of sentences that names were put into: the first ``most`` sentences, names in turn."""
+    out, names = [], sorted(swaps)
+    for text in texts:
+        for sentence in SENTENCE.split(text.lower()):
+            words = set(WORD.findall(sentence))
+            if words and names:
+                name = names[len(out) % len(names)]
+                out.append(_change(words | {name}, words | {swaps[name]}))
+                if len(out) >= most:
+                    return out
     return out
 
 
-def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -> tuple[dict[str, float], float]:
+def fit(texts: list[str | None], toxic: list[int], prior: float | None = None, terms=IDENTITY_TERMS) -> tuple[dict[str, float], float]:
     """Weight of each feature, and the bias, for the score 1 / (1 + exp(-(bias + sum))).
 
     The labels weigh alike; ``prior`` is the share of toxic labels that the bias is shifted to, by default that of the rows.
@@ -105,7 +135,10 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None) -
     index = {names[i]: k for k, i in enumerate(order)}
     del seen, share, p, both, z, names
     x = _Rows((_bag(set(WORD.findall(t.lower()))) for t in texts), index)
-    pairs = _Rows((c for t in texts for c in counterfactuals(t)), index)
+    swaps = swaps_of(terms)
+    pairs = _Rows((c for t in texts for c in counterfactuals(t, swaps)), index)
+    if not pairs.n:
+        pairs = _Rows(planted(texts, swaps, PLANTED), index)
 
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, bias = np.zeros(len(index)), 0.0
@@ -145,26 +178,29 @@ def known_labels(labels: DataFrame, learn: Column) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> DataFrame:
-    """At most ``per_class`` labelled documents of each label, the first by a hash of the id: text, toxic."""
+    """At most ``per_class`` labelled documents of each label, the first by a hash of the id, one row each: text, toxic."""
     known, picked = known_labels(labels, learn), None
     for label in (0, 1):
         part = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionAll(part)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    return one_text_each(docs, picked, "toxic")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> DataFrame:
+def toxicity(
+    docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, terms=IDENTITY_TERMS
+) -> DataFrame:
     """Every row of ``docs`` (any columns) with ``toxic_score`` from 0 to 1 added or replaced.
 
     ``learn`` says which rows of ``labels`` (doc_id, toxic) may be learnt from. A null or empty text has no words
     and scores as the bias says. Rows of one text always score alike. An empty or one-sided set of labels gives a
-    constant score. Repeated labels of a document count once, the higher one.
+    constant score. Repeated labels of a document count once, the higher one; of rows that repeat a labelled doc_id one is
+    learnt from. ``terms`` are the names of groups, each row of one kind.
     """
     rows = training_rows(docs, labels, learn, per_class).toArrow()
     rows = sorted(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist()),
                   key=lambda r: (r[0] or "", r[1]))
     share = known_labels(labels, learn).agg(F.avg("toxic")).first()[0]
-    weights, bias = fit([t for t, _ in rows], [int(y) for _, y in rows], share)
+    weights, bias = fit([t for t, _ in rows], [int(y) for _, y in rows], share, terms)
     memo = _Memo(weights)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
