@@ -186,3 +186,18 @@ def test_lines_odd_rows(spark, odd, none):
     assert [r.text for r in got if r.doc_id == 6] == ["ab"] and [r.text for r in got if r.doc_id == 1] == [None]
     assert {r.text for r in got if r.doc_id in (4, 5)} == {"one two three four five"}
     assert dedup_lines(none).count() == 0
+
+
+def test_line_names_that_collide_in_one_half_stay_apart(spark, monkeypatch):
+    """A name is two hashes: lines that agree in one of them only are different lines."""
+    from pyspark.sql import functions as F
+
+    from tickloom.llm import line_dedup
+
+    rows = [(1, "a\nb\nc"), (2, "x\ny\nz"), (3, "a\nb\nq")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, dedup_lines(docs).collect()))
+    monkeypatch.setattr(line_dedup, "_line_name", lambda x: F.struct(F.lit(7).cast("long").alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    assert sorted(map(str, dedup_lines(docs).collect())) == want
+    monkeypatch.setattr(line_dedup, "_line_name", lambda x: F.struct(F.xxhash64(x).alias("a"), F.lit(7).cast("long").alias("b")))
+    assert sorted(map(str, dedup_lines(docs).collect())) == want

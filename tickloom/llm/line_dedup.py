@@ -21,6 +21,15 @@ MIN_LINES = 2
 ADDED = ("n_lines", "n_removed", "n_runs")
 
 
+def _name(*parts: Column) -> Column:
+    """A name of 128 bits: two hashes of the same parts, each of its own seed."""
+    return F.struct(F.xxhash64(*(p["a"] for p in parts)).alias("a"), F.xxhash64(F.lit(1), *(p["b"] for p in parts)).alias("b"))
+
+
+def _line_name(line: Column) -> Column:
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+
+
 def _names(ids: Column, n: int) -> Column:
     """Name of the first ``n`` items of each suffix that is long enough."""
     names, depth = ids, 1
@@ -28,7 +37,7 @@ def _names(ids: Column, n: int) -> Column:
     def paired(left: Column, shift: int) -> Column:
         count = F.greatest(F.lit(0), F.size(left) - shift)
         return F.zip_with(F.slice(left, F.lit(1), count), F.slice(left, F.lit(1 + shift), count),
-                          lambda a, b: F.xxhash64(a, b))
+                          lambda a, b: _name(a, b))
 
     while depth * 2 <= n:
         names, depth = paired(names, depth), depth * 2
@@ -51,19 +60,19 @@ def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES, long_words: in
                                                    marked.alias("m"))
     items = items.filter(F.size("m") >= (min_lines if long_words is None else 1)).select(
         "doc_id", "_tl_h", "n", F.transform("m", lambda s: s["i"]).alias("at"),
-        F.transform("m", lambda s: F.xxhash64(s["x"])).alias("ids"), *([] if long_words is None else [
+        F.transform("m", lambda s: _line_name(s["x"])).alias("ids"), *([] if long_words is None else [
             F.filter(F.transform("m", lambda s, p: F.when(_long(s["x"], long_words), p)), lambda p: p.isNotNull()).alias("long")]))
     rows = items.select("doc_id", "_tl_h", "n", "at", F.posexplode(_names(F.col("ids"), min_lines)).alias("p", "name"))
     rows = rows.withColumn("size", F.lit(min_lines))
     if long_words is not None:
         ones = items.select("doc_id", "_tl_h", "n", "at", F.explode("long").alias("p"), "ids")
-        rows = rows.unionByName(ones.withColumn("name", F.xxhash64(F.get("ids", "p"))).drop("ids").withColumn("size", F.lit(1)))
+        rows = rows.unionByName(ones.withColumn("name", F.get("ids", "p")).withColumn("name", _name(F.col("name"))).drop("ids").withColumn("size", F.lit(1)))
     past = F.coalesce(F.get("at", F.col("p") + F.col("size")), F.col("n"))
-    windows = stored(rows.select("doc_id", "_tl_h", F.get("at", "p").alias("first"), (past - 1).alias("last"), "name"))
+    windows = stored(rows.select("doc_id", "_tl_h", F.get("at", "p").alias("first"), (past - 1).alias("last"), "name.a", "name.b"))
     place = F.struct(F.col("doc_id").alias("d"), F.col("_tl_h").alias("h"), F.col("first").alias("f"))
-    intervals = stored(windows.groupBy("name").agg(F.min(place).alias("start"), F.count(F.lit(1)).alias("n"))
-                       .filter("n > 1").select("name", "start"))
-    later = windows.join(intervals, "name").filter(~place.eqNullSafe(F.col("start")))
+    intervals = stored(windows.groupBy("a", "b").agg(F.min(place).alias("start"), F.count(F.lit(1)).alias("n"))
+                       .filter("n > 1").select("a", "b", "start"))
+    later = windows.join(intervals, ["a", "b"]).filter(~place.eqNullSafe(F.col("start")))
     return later.select("doc_id", "_tl_h", "first", "last")
 
 
