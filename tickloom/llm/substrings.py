@@ -260,22 +260,23 @@ def repeated_marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crow
     marks = marks.unionAll(found.filter("past is not null").select("doc_id", "_tl_h", "first", "past"))
 
     # strings of different parts: first whole blocks of starts by what they share, then the strings of blocks that match
-    block = F.xxhash64("anchor", "column", "digest").alias("block")
-    blocks = found.filter("past is null").select("doc_id", "_tl_h", F.col("first").alias("u"), "column", "open", block)
-    match = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open"))
-    match = stored(match.filter("n > 1 and open").select("block"))
+    block = ["anchor", "column", "digest"]  # 64 bits of the anchor and 64 of the bytes
+    blocks = found.filter("past is null").select("doc_id", "_tl_h", F.col("first").alias("u"), "open", *block)
+    match = blocks.groupBy(*block).agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open"))
+    match = stored(match.filter("n > 1 and open").select(*block))
     if match.isEmpty():
         return marks
-    again = blocks.join(match, "block").groupBy("doc_id", "_tl_h", "u").agg(F.collect_list("column").alias("columns"))
+    again = blocks.join(match, block).groupBy("doc_id", "_tl_h", "u").agg(F.collect_list("column").alias("columns"))
     again = again.select(F.col("doc_id").alias("_d"), F.col("_tl_h").alias("_h"), F.col("u").alias("_u"), "columns")
     crowded = cut.filter("crowded")
     same = crowded["doc_id"].eqNullSafe(F.col("_d")) & (crowded["_tl_h"] == F.col("_h")) & (crowded["u"] == F.col("_u"))
     each = map_batches(crowded.join(again, same).drop("_d", "_h", "_u", "crowded", "bucket"), _digests(window),
                        f"doc_id {kind}, _tl_h long, u long, off int, anchor long, digests array<struct<i:int,digest:long>>")
     each = stored(each.select("doc_id", "_tl_h", "u", "anchor", "off", F.inline("digests")).select(
-        "doc_id", "_tl_h", (F.col("u") + F.col("i")).alias("first"), F.xxhash64("anchor", F.col("i") - F.col("off"), "digest").alias("string")))
-    twice = stored(each.groupBy("string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("string"))
-    return marks.unionAll(each.join(twice, "string").select("doc_id", "_tl_h", "first", (F.col("first") + window).alias("past")))
+        "doc_id", "_tl_h", (F.col("u") + F.col("i")).alias("first"), "anchor", (F.col("i") - F.col("off")).alias("at"), "digest"))
+    string = ["anchor", "at", "digest"]
+    twice = stored(each.groupBy(*string).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*string))
+    return marks.unionAll(each.join(twice, string).select("doc_id", "_tl_h", "first", (F.col("first") + window).alias("past")))
 
 
 def _remove(batch: pa.RecordBatch) -> pa.RecordBatch:
