@@ -9,9 +9,10 @@ and to the left by the transform itself, for all intervals at once.
 
 Shards work in two passes, as a phrase of at least ``least`` places has only such parts. First, the intervals of words that
 are frequent over all shards are extended to pairs, whose counts are summed across shards. Then the intervals of
-frequent pairs are extended to 3, 4 and 5 words, each named by the pairs in it, and summed. Words and pairs reach
-their shards again by joins, never as one table for all. Counts, cuts, containment and ranks are joins and groups over the
-frequent phrases.
+frequent pairs are extended to 3, 4 and 5 words, each named by the pairs in it, and summed. Frequent words reach their
+shards again by a join. Frequent pairs are sent to all tasks as sorted numbers if their counted bytes are within
+``LOOKUP_BYTES``, and reach the shards by a join of the pairs' intervals beyond it. Counts, cuts, containment and ranks
+are joins and groups over the frequent phrases.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import portions, stored
 
 #: Longest phrase; least places; symbols of a shard; phrases returned per language; parts in which these are first ranked.
 DEEPEST, LEAST, SHARD, FIRST, PARTS = 5, 100, 1 << 21, 2000, 64
+#: Frequent pairs that are sent to every task: at most so many bytes, at 24 each.
+LOOKUP_BYTES = 64 << 20
 NO_LANG = "und"
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 # every mark becomes a point, which stands apart and is no part of any word
@@ -197,35 +200,71 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
         yield whole()
 
 
+def _pair_runs(ids: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Intervals of two frequent words: first row, length, and the ids of both words."""
+    on = ids[right]
+    row = np.flatnonzero((ids > 0) & (on > 0))
+    a, b = ids[row], on[row]
+    start, n = _runs([a, b])
+    return row[start], n, a[start], b[start]
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Intervals of frequent words to those of pairs: shard, lo, n, and the ids of both words."""
     for shard, ids, right in _shards(batches):
-        on = ids[right]
-        row = np.flatnonzero((ids > 0) & (on > 0))
-        a, b = ids[row], on[row]
-        start, n = _runs([a, b])
-        for at in range(0, len(start), 100_000):
-            s, k = start[at:at + 100_000], n[at:at + 100_000]
+        lo, n, a, b = _pair_runs(ids, right)
+        for at in range(0, len(lo), 100_000):
+            part = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(s), shard)), pa.array(row[s], pa.int32()), pa.array(k, pa.int32()), pa.array(a[s]), pa.array(b[s])],
-                ["shard", "lo", "n", "a", "b"])
-
-
-def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals of frequent pairs to those of 3 to ``DEEPEST`` words: count, and the ids of the pairs in them (0: none)."""
-    for _, ids, right in _shards(batches):
-        row = np.flatnonzero(ids)
-        pairs, place = [ids[row]], row
-        for _ in range(3, DEEPEST + 1):
-            place = right[place]
-            on = ids[place]
-            row, place, pairs = row[on > 0], place[on > 0], [p[on > 0] for p in pairs] + [on[on > 0]]
-            start, n = _runs(pairs)
-            for at in range(0, len(start), 100_000):
-                s, k = start[at:at + 100_000], n[at:at + 100_000]
-                columns = [p[s] for p in pairs] + [np.zeros(len(s), dtype=np.int64)] * (DEEPEST - 1 - len(pairs))
-                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), *map(pa.array, columns)],
-                                                 ["n", *(f"p{i}" for i in range(1, DEEPEST))])
+                [pa.array(np.full(len(lo[part]), shard)), pa.array(lo[part], pa.int32()), pa.array(n[part], pa.int32()),
+                 pa.array(a[part]), pa.array(b[part])], ["shard", "lo", "n", "a", "b"])
+
+
+class PairIds:
+    """Ids of the frequent pairs by the ids of their words."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, pair: np.ndarray):
+        self.a, at = np.unique(a, return_inverse=True)
+        self.b, on = np.unique(b, return_inverse=True)
+        key = at * len(self.b) + on
+        order = np.argsort(key)
+        self.key, self.pair = key[order], pair[order]
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The pairs' ids, 0 where a pair is not frequent."""
+        def place(values, sought):
+            at = np.minimum(np.searchsorted(values, sought), len(values) - 1)
+            return at, values[at] == sought
+
+        (at, known), (on, also) = place(self.a, a), place(self.b, b)
+        found, there = place(self.key, at * len(self.b) + on)
+        return np.where(known & also & there, self.pair[found], 0)
+
+
+def _longer(lookup=None):
+    """Intervals of frequent pairs to those of 3 to ``DEEPEST`` words: count, and the ids of the pairs in them (0: none). With
+    a ``lookup`` the rows bring the intervals of frequent words instead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, right in _shards(batches):
+            if lookup is not None:
+                lo, n, a, b = _pair_runs(ids, right)
+                ids = np.zeros(len(ids), dtype=np.int64)
+                ids[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)] = np.repeat(lookup.value.of(a, b), n)
+            row = np.flatnonzero(ids)
+            pairs, place = [ids[row]], row
+            for _ in range(3, DEEPEST + 1):
+                place = right[place]
+                on = ids[place]
+                place, pairs = place[on > 0], [p[on > 0] for p in pairs] + [on[on > 0]]
+                start, n = _runs(pairs)
+                for at in range(0, len(start), 100_000):
+                    s, k = start[at:at + 100_000], n[at:at + 100_000]
+                    columns = [p[s] for p in pairs] + [np.zeros(len(s), dtype=np.int64)] * (DEEPEST - 1 - len(pairs))
+                    yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), *map(pa.array, columns)],
+                                                     ["n", *(f"p{i}" for i in range(1, DEEPEST))])
+
+    return run
 
 
 def _extended(shards: DataFrame, intervals: DataFrame, work, schema: str) -> DataFrame:
@@ -250,15 +289,20 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shard: int = SHARD) ->
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")))
     one = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     one = _numbered(one)
-    intervals = words.join(one, ["lang", "word"]).select("shard", "lo", "n", "id")
-    pairs = stored(_extended(shards, intervals, _pairs, "shard long, lo int, n int, a long, b long"))
+    of_words = stored(words.join(one, ["lang", "word"]).select("shard", "lo", "n", "id"))
+    pairs = _extended(shards, of_words, _pairs, "shard long, lo int, n int, a long, b long")
     two = pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     left, right = one.select(F.col("id").alias("a"), "lang", F.col("word").alias("left")), one.select(
         F.col("id").alias("b"), F.col("word").alias("right"))
     two = _numbered(two.join(left, "a").join(right, "b"))
-    intervals = pairs.join(two.select("a", "b", "id"), ["a", "b"]).select("shard", "lo", "n", "id")
     names = [f"p{i}" for i in range(1, DEEPEST)]
-    longer = _extended(shards, intervals, _longer, "n long, " + ", ".join(f"{x} long" for x in names))
+    if 0 < two.count() <= LOOKUP_BYTES // 24:
+        known = two.select("a", "b", "id").toArrow()
+        lookup = docs.sparkSession.sparkContext.broadcast(PairIds(*(known.column(c).to_numpy() for c in ("a", "b", "id"))))
+        intervals = of_words
+    else:
+        lookup, intervals = None, pairs.join(two.select("a", "b", "id"), ["a", "b"]).select("shard", "lo", "n", "id")
+    longer = _extended(shards, intervals, _longer(lookup), "n long, " + ", ".join(f"{x} long" for x in names))
     longer = stored(longer.groupBy(names).agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
     longer = longer.join(two.select(F.col("id").alias("p1"), "lang", F.concat_ws(" ", "left", "right").alias("phrase")), "p1")
     for x in names[1:]:
