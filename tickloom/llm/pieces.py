@@ -25,7 +25,7 @@ from .common import map_batches, with_field
 
 SPACE = "▁"
 NEVER = np.iinfo(np.int64).max
-MEMO, CHARS, NEW_CHARS, PAIRS = 250_000, 2_000_000, 250_000, 1 << 20
+MEMO, CHARS, NEW_CHARS, PAIRS = 350_000, 2_000_000, 250_000, 1 << 20
 
 
 def merged(text: str, score: dict[str, float]) -> tuple[list[str], tuple[str, str] | None]:
@@ -134,18 +134,19 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         shifted[:max(0, n - done)] = rank[done:]
         rank, width, done = rank * width + shifted, width * width, done * 2
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)  # suffixes alike so far may come in any order
         if done >= depth:
             return order
-        rank_of = np.empty(n, dtype=np.int64)
-        rank_of[order] = np.cumsum(np.append(1, (np.diff(rank[order]) != 0).astype(np.int64)))
+        rank_of, sorted_ = np.empty(n, dtype=np.int64), rank[order]
+        rank_of[order] = np.cumsum(np.append(1, sorted_[1:] != sorted_[:-1]))
         shifted = np.zeros(n, dtype=np.int64)
         shifted[:max(0, n - done)] = rank_of[done:]
         rank, done = rank_of * (n + 1) + shifted, done * 2
 
 
 class Encoder(dict):
-    """Ids (packed uint32) of '▁' + stretch, for stretches without spaces; emptied when full."""
+    """Ids (packed uint32) of '▁' + stretch, for stretches without spaces. When full, what was remembered is put aside, and
+    what is asked for again comes back from there."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -165,6 +166,7 @@ class Encoder(dict):
         self.known = np.full(PAIRS, -1, dtype=np.int64)
         self.answer = np.zeros(PAIRS, dtype=bool)
         self.blank: dict[int, bytes] = {}
+        self.aside: dict[str, bytes] = {}
 
     def _agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         pair = a * self.v.n + b
@@ -232,9 +234,10 @@ class Encoder(dict):
         end = start + self.size[token]
         offset = np.arange(len(codes)) - np.repeat(first, size)
         step = offset[end - 1]
-        by_end = np.argsort(step, kind="stable")
+        longest = int(size.max())
+        by_end = np.argsort(step.astype(np.int16) if longest < 1 << 15 else step, kind="stable")
         start, token, end = start[by_end], token[by_end], end[by_end]
-        bound = np.searchsorted(step[by_end], np.arange(int(size.max()) + 1))
+        bound = np.searchsorted(step[by_end], np.arange(longest + 1))
         last = np.full(len(codes) + 1, -1, dtype=np.int64)  # piece that ends the encoding of the prefix
         opening = np.zeros(len(codes) + 1, dtype=bool)
         opening[first] = True
@@ -251,15 +254,19 @@ class Encoder(dict):
             where = where - self.size[t]
             more = where > first[owner]
             owner, where = owner[more], where[more]
-        owners = np.concatenate([o for o, _ in taken])[::-1]
-        tokens = np.concatenate([t for _, t in taken])[::-1]
-        order = np.argsort(owners, kind="stable")
-        tokens, count = tokens[order].astype("<u4"), np.bincount(owners, minlength=len(stretches))
-        at = np.cumsum(count) - count
+        # a stretch's pieces were found from its end, one in each round: its k-th round is the k-th place from behind
+        count = np.zeros(len(stretches), dtype=np.int64)
+        for owner, _ in taken:
+            count[owner] += 1
+        past = np.cumsum(count)
+        at = past - count
+        tokens = np.empty(int(count.sum()), dtype="<u4")
+        for k, (owner, t) in enumerate(taken):
+            tokens[past[owner] - 1 - k] = t
         data = tokens.tobytes()
         for s, i, c in zip(stretches, at.tolist(), count.tolist()):
             self[s] = data[4 * i:4 * (i + c)]
-        for k in np.unique(owners[order][tokens == self.v.unknown]):  # characters outside the vocabulary go as bytes
+        for k in np.unique(np.searchsorted(past, np.flatnonzero(tokens == self.v.unknown), "right")):  # characters outside the vocabulary go as bytes
             row, rest, out = tokens[at[k]:at[k] + count[k]], SPACE + stretches[k], []
             for t in row.tolist():
                 n = int(self.size[t])
@@ -305,10 +312,13 @@ class Encoder(dict):
                 parts.append(texts[at].replace(SPACE, " ").split(" ") if texts[at] else [])
                 at += 1
             if len(self) >= MEMO:
+                self.aside = dict(self)
                 self.clear()
             held, size = [], 0
-            for s in set().union(*parts):
-                if s and s not in self:
+            for s in set().union(*parts).difference(self):
+                if (value := self.aside.get(s)) is not None:
+                    self[s] = value
+                elif s:
                     held.append(s)
                     size += len(s) + 1
                     if size >= NEW_CHARS:
