@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from ..session import use_checkpoints
 
 BLOCK, SEGMENT, PERCENTILE, END_ID = 256, 1 << 19, 90, 1
+#: Pieces remembered at least; twice as many at most.
 MEMO = 400_000
 #: Latin text without what needs the library's care: combining marks, odd white space, special tokens.
 _LATIN = range(0x180)
@@ -41,7 +42,8 @@ _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_
 
 
 class Encoder(dict):
-    """Packed ids of one piece of a text, worked out by the library's model and remembered; emptied when full.
+    """Packed ids of one piece of a text, worked out by the library's model and remembered. When full, what was
+    remembered is put aside, and what is asked for again comes back from there.
 
     The tokenizer lowers case and parts a text into runs of letters, single digits and runs of other signs; no token
     reaches over these cuts. For Latin text the cuts are made here, by the tokenizer's own pattern, and each new piece is
@@ -56,10 +58,15 @@ class Encoder(dict):
         self.library = Tokenizer.from_file(path)
         self.model, self.spell = self.library.model, self.library.pre_tokenizer.pre_tokenize_str
         self.stretches: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO:
+            self.aside = dict(self)
             self.clear()
+        if (value := self.aside.get(piece)) is not None:
+            self[piece] = value
+            return value
         spelt = piece if piece.isascii() and piece.isprintable() else self.spell(piece)[0][0]
         value = self[piece] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return value
@@ -84,6 +91,18 @@ def encoder_for(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` low bits of each row's values one after the other, lowest bit first, in little-endian words."""
+    low = np.ascontiguousarray(values.T) & np.uint32((1 << width) - 1)
+    out = np.zeros((width * (BLOCK // 32), len(values)), dtype="<u4")
+    for k, column in enumerate(low):
+        word, shift = divmod(k * width, 32)
+        out[word] |= column << np.uint32(shift)
+        if shift + width > 32:
+            out[word + 1] |= column >> np.uint32(32 - shift)
+    return np.ascontiguousarray(out.T)
+
+
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
     """Block index, block heads, packed part and exceptions of ``ids``."""
     n = -(-len(ids) // BLOCK)
@@ -94,7 +113,8 @@ def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
     rest = whole - least[:, None]
     mark = np.sort(rest, axis=1)[:, (BLOCK * PERCENTILE - 1) // 100] if n else least
     width = np.ceil(np.log2(mark.astype(np.float64) + 1)).astype(np.uint8)
-    outlier = (rest.astype(np.uint64) >> width[:, None].astype(np.uint64)) > 0
+    most = ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    outlier = rest > most[:, None]
     at = np.nonzero(outlier)
     exceptions = at[1].astype("<u2").tobytes() + rest[at].astype("<u4").tobytes()
     first = np.cumsum(outlier.sum(axis=1)) - outlier.sum(axis=1)
@@ -104,8 +124,7 @@ def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         if w:
-            bits = ((rest[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-            out = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+            out = _packed(rest[rows], int(w)).view(np.uint8)
             packed[start[rows][:, None] + np.arange(out.shape[1])] = out
     heads = least.astype("<u4").tobytes() + width.tobytes()
     return start.astype("<u4").tobytes() + first.astype("<u4").tobytes(), heads, packed.tobytes(), exceptions
