@@ -201,3 +201,60 @@ def test_line_names_that_collide_in_one_half_stay_apart(spark, monkeypatch):
     assert sorted(map(str, dedup_lines(docs).collect())) == want
     monkeypatch.setattr(line_dedup, "_line_name", lambda x: F.struct(F.xxhash64(x).alias("a"), F.lit(7).cast("long").alias("b")))
     assert sorted(map(str, dedup_lines(docs).collect())) == want
+
+
+# -- the registered queries, at their own parameters, over whole tables --------------------------
+
+
+def test_op4_query_equals_brute_force(spark, sf_dir):
+    from tickloom.llm.queries import op4_simhash
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    prints = {i: brute_print(t) for i, t in docs}
+    first = {}
+    for i in sorted(prints):
+        first.setdefault(prints[i], i)
+    root = components_of(first.values(), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in op4_simhash(spark, sf_dir).collect()}
+    assert got == {(i, f"{p:016x}", root[first[p]]) for i, p in prints.items()}
+
+
+def test_op6_query_equals_brute_force(spark, sf_dir):
+    import hashlib
+
+    from tickloom.llm.queries import op6_substrings
+
+    docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    seen = collections.Counter()
+    for _, t in docs:
+        seen.update(xxhash.xxh3_128_intdigest(t[i:i + 400]) for i in range(len(t) - 399))
+    want = set()
+    for doc_id, t in docs:
+        gone = np.zeros(len(t) + 1, dtype=np.int64)
+        for i in range(len(t) - 399):
+            if seen[xxhash.xxh3_128_intdigest(t[i:i + 400])] > 1:
+                gone[i] += 1
+                gone[i + 400] -= 1
+        lost = np.cumsum(gone)[:-1] > 0
+        spans = int((np.diff(np.concatenate(([0], lost.astype(int)))) == 1).sum())
+        kept = bytes(np.frombuffer(t, np.uint8)[~lost]) if t else b""
+        want.add((doc_id, len(t), int(lost.sum()), spans, hashlib.sha256(kept).hexdigest(), spans > 0))
+    assert {tuple(r) for r in op6_substrings(spark, sf_dir).collect()} == want
+    assert any(w[-1] for w in want) and not all(w[-1] for w in want)
+
+
+def test_op7_query_equals_brute_force(spark, sf_dir):
+    from tickloom.llm.queries import op7_pivots
+
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()
+    column = next(c for c in table.columns if c not in ("vec_id", "label"))
+    alive = [(int(i), lab, np.array(v, dtype=np.float64)) for i, lab, v in zip(table.vec_id, table.label, table[column])]
+    unit = {i: v / np.linalg.norm(v) for i, lab, v in alive if np.isfinite(v).all() and np.linalg.norm(v) > 0}
+    label = {i: lab for i, lab, _ in alive}
+    ids = sorted(unit)
+    near = np.stack([unit[i] for i in ids]) @ np.stack([unit[i] for i in ids]).T >= 0.98
+    linked = {(a, b) for x, a in enumerate(ids) for y, b in zip(np.flatnonzero(near[x]), np.array(ids)[near[x]])
+              if a != b and label[a] == label[b] and label[a] is not None}
+    root = components_of([i for i, _, _ in alive], lambda a, b: (a, b) in linked) if linked else {i: i for i, _, _ in alive}
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in op7_pivots(spark, sf_dir).collect()}
+    assert got == {(i, sum(1 for a, _ in linked if a == i), root[i], root[i] == i) for i, _, _ in alive}

@@ -144,3 +144,47 @@ def test_decontamination(spark, odd, none):
     for docs_, bench_ in ((odd, bench), (none, bench), (odd, bench.limit(0))):
         assert contamination(docs_, bench_).count() == docs_.count()
         assert clean_documents(docs_, bench_).columns == docs_.columns
+
+
+def _texts_of(spark, sf_dir):
+    return sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+
+
+def test_op8_query_equals_the_library(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    from tickloom.llm.queries import op8_token_file
+
+    library, start, want = Tokenizer.from_file(WORDS), 0, []
+    for doc_id, text in _texts_of(spark, sf_dir):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 1], dtype="<u4")
+        want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in op8_token_file(spark, sf_dir).collect()) == want
+
+
+def test_op10_query_equals_the_library(spark, sf_dir):
+    import hashlib
+
+    from sentencepiece import SentencePieceProcessor
+
+    from tickloom.llm.queries import op10_pieces
+
+    library = SentencePieceProcessor(model_file=MODEL)
+    got = {r.doc_id: (r.n_ids, r.ids_sha256) for r in op10_pieces(spark, sf_dir).collect()}
+    for doc_id, text in _texts_of(spark, sf_dir):
+        ids = library.encode(text)
+        assert got[doc_id] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_texts_longer_than_a_segment(spark):
+    """One text of more ids than a segment holds, and one beyond the portions in which pieces are worked out."""
+    long = " ".join(f"w{i % 977} x{i % 13}!" for i in range(200_000))
+    docs = spark.createDataFrame([(1, "a"), (2, long), (3, "b")], "doc_id long, text string")
+    path = new_path(spark)
+    write_tokens(docs, WORDS, path)
+    got = {r.doc_id: (r.start, r.n_tokens, bytes(r.ids)) for r in read_tokens(spark, path).collect()}
+    ids = np.array([*TokenEncoder(WORDS).library.encode(long, add_special_tokens=False).ids, 1], dtype="<u4")
+    assert len(ids) > 1 << 19 and got[2][1:] == (len(ids), ids.tobytes()) and got[3][0] == got[2][0] + len(ids)
+    rows = {r.doc_id: r for r in encode_and_decode(docs, MODEL).collect()}
+    assert rows[2].decoded == long and len(rows[2].piece_ids) > 400_000
