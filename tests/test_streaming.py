@@ -14,7 +14,7 @@ from tickloom.operators.pairs import to_canonical
 from tickloom.operators.parse import parse_raw
 from tickloom.operators.relay import to_relay_json
 from tickloom.operators.spread import spread_changelog_by_time
-from tickloom.operators.throttle import throttle_closed
+from tickloom.operators.throttle import latest_per_key, throttle_closed
 from tickloom.operators.ticks import to_ticks
 from tickloom.plans.store import TickStore
 from tickloom.sinks import keyed_records, read_batches, write_labelled_logs, write_micro_batch
@@ -370,3 +370,23 @@ def test_relay_and_monitor_streams(spark, quote_files, tmp_path):
     valid = valid_monitor(read_monitor_json(messages)).count()
     assert spark.read.json(f"{root}/mon/logs").count() == valid > 0
     assert spark.read.parquet(f"{root}/mon/invalid").count() == messages.count() - valid
+
+
+def test_lanes_that_ended_give_their_last_windows_and_are_forgotten(spark, tmp_path):
+    def quote(lane, n, ms):
+        return ("binance", "A", 1, 2, None, 8, "t", f"{lane}{n}", lane, n, T0 + timedelta(milliseconds=ms))
+
+    job = ThrottleStream(str(tmp_path / "out"), retire=timedelta(seconds=20))
+    batches = [[quote("f1", 0, 100), quote("f1", 1, 200)], [quote("f2", 0, 10_000)], [quote("f3", 0, 40_000)], [quote("f3", 1, 45_000)]]
+    for n, batch in enumerate(batches):
+        for _ in range(2):
+            job(spark.createDataFrame(batch, schemas.QUOTE), n)
+    got = spark.read.parquet(str(tmp_path / "out" / "latest"))
+    assert sorted(r.message_id for r in got.collect()) == ["f11", "f20", "f30"]
+    clocks = spark.read.parquet(str(tmp_path / "out" / "throttle_clock")).filter("batch_id = 3")
+    assert [r.feed for r in clocks.collect()] == ["binance/f3"]
+
+
+def test_rows_without_a_key_are_no_latest_rows(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), (None, 3, 7)], "k string, arrival long, v long")
+    assert [tuple(r) for r in latest_per_key(rows, ["k"]).collect()] == [("a", 2, 6)]

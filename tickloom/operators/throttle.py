@@ -119,12 +119,13 @@ def drop_late(
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], arrival: str = "arrival") -> DataFrame:
-    """The last row by arrival of each key; arrivals are unique within a key. Partial results form before the
-    shuffle, so a hot key is merged from one row per task.
+    """The last row by arrival of each key; arrivals are unique within a key. Rows with a null in their key have none and are
+    left out. Partial results form before the shuffle, so a hot key is merged from one row per task.
 
     Columns of fixed width are kept in the aggregation itself, which then hashes. Other columns would make Spark
     sort every row first; there only the last arrival is aggregated and the few winners are joined back.
     """
+    rows = rows.dropna(subset=keys)
     others = [c for c in rows.columns if c not in keys and c != arrival]
     if all(isinstance(rows.schema[c].dataType, _FIXED_WIDTH) for c in others):
         last = rows.groupBy(*keys).agg(

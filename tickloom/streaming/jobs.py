@@ -237,11 +237,15 @@ class ThrottleStream:
 
     State per batch: each lane's clock, and the latest quotes of windows still open. The lane's clock enters the next
     batch's rule as a row before all others.
+
+    With ``retire`` a lane whose clock is that far behind the leading one has ended: its open windows are written and its clock
+    is forgotten. Needed where lanes end, as landed files do; a record of such a lane that still comes begins a new lane.
     """
 
     root: str
     size: timedelta = WINDOW
     grace: timedelta = GRACE
+    retire: timedelta | None = None
 
     def __call__(self, quotes: DataFrame, batch_id: int) -> None:
         fresh = quotes.withColumn("feed", F.concat_ws("/", "exchange", "lane")).persist()
@@ -259,11 +263,17 @@ class ThrottleStream:
             if open_rows is not None:
                 on_time = on_time.unionByName(open_rows.select(*on_time.columns))
             latest = latest_per_key(on_time, ["feed", "crypto_pair", "window_start"]).join(broadcast_if_small(clock), "feed")
-            latest = latest.withColumn("_closed", is_closed(F.col("window_start"), F.col("clock"), self.size, self.grace)).persist()
+            ended = F.lit(False)
+            at = F.unix_micros(F.col("clock").cast("timestamp"))
+            lead = clock.agg(F.max(at)).first()[0] if self.retire is not None else None
+            if lead is not None:
+                ended = at < lead - micros(self.retire)
+            closed = ended | is_closed(F.col("window_start"), F.col("clock"), self.size, self.grace)
+            latest = latest.withColumn("_closed", closed).persist()
             columns = [*quotes.columns, "window_start"]
             write_micro_batch(latest.filter("_closed").select(*columns), f"{self.root}/latest", batch_id)
             write_micro_batch(latest.filter("not _closed").select("feed", *columns), f"{self.root}/throttle_open", batch_id)
-            write_micro_batch(clock, f"{self.root}/throttle_clock", batch_id)
+            write_micro_batch(clock.filter(~ended), f"{self.root}/throttle_clock", batch_id)
             for kept in (latest, clock):
                 kept.unpersist()
         finally:
