@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import portions, stored
 
 #: Longest phrase; least places; symbols of a shard; phrases returned per language; parts in which these are first ranked.
-DEEPEST, LEAST, SHARD, FIRST, PARTS = 5, 100, 1 << 21, 2000, 64
+DEEPEST, LEAST, SHARD, FIRST, PARTS = 5, 100, 1 << 22, 2000, 64
 #: Frequent pairs that are sent to every task: at most so many bytes, at 24 each.
 LOOKUP_BYTES = 64 << 20
 NO_LANG = "und"
