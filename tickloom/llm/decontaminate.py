@@ -1,7 +1,7 @@
 """Benchmark decontamination by a broadcast set of normalised n-grams. DataFrame expressions only.
 
-Each document gives its token windows; they meet the benchmark's windows in one join on the window text, so a hit is an
-equal window, not an equal hash. The benchmark side is broadcast only if its measured size is within ``BROADCAST_BYTES``;
+Each document gives its token windows, one row at a time and never a whole text's windows at once; they meet the benchmark's
+windows in one join on the window text, so a hit is an equal window, not an equal hash. The benchmark side is broadcast only if its measured size is within ``BROADCAST_BYTES``;
 beyond that Spark shuffles both sides. Every document also sends one marker row with its word count
 through the same shuffle, so the table is read once and nothing is joined back.
 """
@@ -11,19 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import words
 
-#: Words are runs of digits, letters a-z and everything beyond ASCII, after lowering A-Z.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words are runs of digits, letters and everything beyond ASCII; A-Z is lowered.
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 N = 10
 BROADCAST_BYTES = 64 << 20
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-
-
 def _windows(array: Column, span) -> Column:
     """Every run of ``span`` words with its start; none if there are fewer words."""
     last = F.size(array) - span
@@ -52,8 +47,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
     facts = grams.agg(F.sum(F.octet_length("window") + 64 + 24 * F.size("items")), F.collect_set("span")).first()
     spans = sorted(facts[1])
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
-    marker = F.array(F.struct((-1 - F.size("w")).alias("at"), F.lit(0).alias("span"), F.lit(None).cast("string").alias("window")))
-    rows = rows.select("doc_id", "h", F.inline(F.concat(marker, *(_windows(F.col("w"), s) for s in spans))))
+    # place -1 is the document's marker
+    places = rows.select("doc_id", "h", "w", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("i"))
+    each = places.select("doc_id", "h", "w", "i", F.explode(F.array(F.lit(0), *map(F.lit, spans))).alias("span"))
+    each = each.filter(F.when(F.col("i") < 0, F.col("span") == 0).otherwise((F.col("span") > 0) & (F.col("i") + F.col("span") <= F.size("w"))))
+    rows = each.select(
+        "doc_id", "h", F.when(F.col("i") < 0, -1 - F.size("w")).otherwise(F.col("i")).alias("at"), "span",
+        F.when(F.col("i") >= 0, F.array_join(F.slice("w", F.col("i") + 1, F.greatest(F.col("span"), F.lit(0))), " ")).alias("window"))
     small = (facts[0] or 0) <= BROADCAST_BYTES
     met = rows.join(F.broadcast(grams) if small else grams, ["window", "span"], "left")
     met = met.filter((F.col("at") < 0) | F.col("items").isNotNull())

@@ -13,10 +13,10 @@ carries its word count through the same plan, so the table is read once and noth
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import words
 
 #: Words in a run; bits of votes kept in one number; most words between diagonals that are merged; least votes of such a
 #: diagonal; least share of a notice's runs found; longest span, as a multiple of the notice.
@@ -44,13 +44,6 @@ NOTICES = (
             "documentation files the software to deal in the software without restriction"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
-_GAPS = "".join(chr(c) for c in (*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
-
-
-def words(text: Column) -> Column:
-    """Runs of digits, letters and characters beyond ASCII, A-Z lowered; none in a null text."""
-    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + _GAPS, LOWER + " " * len(_GAPS))
-    return F.array_remove(F.split(plain, " "), "")
 
 
 def _templates(spark, phrases, notices, k: int) -> DataFrame:
