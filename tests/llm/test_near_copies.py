@@ -71,3 +71,27 @@ def test_stage_keeps_one_of_each_group(spark, sf_dir):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
     sets = {i: brute_set(t) for i, t in rows}
     assert kept == set(components_of(sets, lambda a, b: similar(sets[a], sets[b])).values())
+
+
+def test_fingerprint_is_a_simhash():
+    """Each bit by majority over the shingles' hashes; like sets differ in few bits, share a block and are near in the head."""
+    from tickloom.llm import near_copies as nc
+
+    rng = np.random.default_rng(2)
+    shingles = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    each = np.array([nc.wide_fingerprint(shingles[i:i + 1]) for i in range(len(shingles))])
+    assert nc.wide_fingerprint(shingles).tolist() == (2 * each.sum(axis=0) > len(shingles)).astype(int).tolist()
+    for shared, own in ((8, 1), (80, 10), (240, 30)):  # similarity 0.8
+        sets = rng.integers(0, 1 << 63, (500, shared + 2 * own), dtype=np.uint64)
+        x = np.array([nc.wide_fingerprint(s[:shared + own]) for s in sets])
+        y = np.array([nc.wide_fingerprint(np.delete(s, slice(0, own))[:shared + own]) for s in sets])
+        assert (nc.block_keys(x) == nc.block_keys(y)).any(axis=1).all()
+        assert (x != y)[:, :nc.HEAD].sum(axis=1).max() <= nc.RADIUS and (x != y).mean(axis=1).max() < nc.APART
+
+
+def test_crowded_blocks_give_the_same_copies(spark):
+    rows = list(enumerate(edited_texts()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: brute_set(t) for i, t in rows}
+    got = {r.doc_id: r.component_id for r in near_copies(docs, crowd=2).collect()}
+    assert got == components_of(sets, lambda a, b: similar(sets[a], sets[b]))

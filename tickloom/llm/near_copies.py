@@ -1,14 +1,17 @@
-"""Documents of like wording: word shingles of Jaccard similarity at least ``LEAST``, each link verified.
+"""Documents of like wording: word shingles of Jaccard similarity at least ``LEAST``, found by SimHash fingerprints, each
+link verified.
 
-Fingerprints of 64 bits cannot retrieve such pairs by whole blocks: at 0.8 about ten bits differ, and blocks that small
-let almost all pairs meet. So candidates share one of ``BANDS`` keys of ``ROWS`` least shingle hashes each, which
-a pair of 0.8 misses once in about 20,000 times. Documents of one shingle set are one node. A node is first compared
-with the smallest node of each of its keys, one pair per node and key however many share it; keys whose nodes are all
-joined by that are done. In the others, nodes of different components meet in cells of bounded bytes (``common.cells``),
-each with its whole shingle set. There they are verified and joined, and a cell sends on one link per node it joined, never
-its pairs. A pair is a link only if its whole shingle sets are similar enough.
+At 0.8 about 15 in 100 fingerprint bits differ, too many for the few blocks of 64 bits. So a fingerprint has ``BITS`` bits, and
+its bits are dealt, in several orders, to ``KEYS`` blocks of ``WIDTH`` bits: candidates agree in one whole block, as in op4, and
+differ in at most ``RADIUS`` of their first ``HEAD`` bits. Fingerprints that meet in a block are compared in cells of a bounded number
+(``common.cells`` beyond ``CROWD``); a cell sends on each fingerprint once, with the group that its near ones make there.
 
-The sets are worked out once per node, from one of its texts, and only for nodes that share a key with another.
+Documents of one shingle set are one node. A node is first compared with the smallest node of its groups, one pair per node; groups
+whose nodes are all joined by that are done. In the others, nodes of different components meet in cells of bounded bytes, each with its
+whole shingle set. There they are verified and joined, and a cell sends on one link per node it joined, never its pairs. A pair is a
+link only if its whole shingle sets are similar enough.
+
+The sets are worked out once per node, from one of its texts, and only for nodes that are in a group with another.
 """
 
 from __future__ import annotations
@@ -23,14 +26,21 @@ from pyspark.sql import functions as F
 
 from .common import cell_pairs, cells, components, grouped, local_roots, map_batches, stored
 
-SHINGLE, LEAST, BANDS, ROWS, SEED, STRIDE = 5, 0.8, 25, 5, 42, 1 << 16
+SHINGLE, LEAST, SEED, STRIDE = 5, 0.8, 42, 1 << 16
+#: Bits of a fingerprint, its blocks and their bits; bits compared where blocks meet, and how many of them may differ.
+BITS, KEYS, WIDTH, HEAD, RADIUS = 1024, 128, 14, 128, 40
+#: Share of differing bits above which a pair of a cell is not verified: a pair of 0.8 is seven standard deviations below.
+APART = 0.25
+#: Fingerprints of a block that are compared in one cell; a larger block is dealt to several.
+CROWD = 4096
 #: Bytes of shingle sets in half a cell; a set larger than that is a cell's half by itself.
 CELL = 4 << 20
-#: Share of equal least hashes below which a pair of a cell is not verified: five standard deviations under ``LEAST``.
-SLACK = 0.18
 _RNG = np.random.default_rng(SEED)
-_TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_TIMES = _RNG.integers(0, 1 << 63, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RNG.integers(0, 1 << 63, 128, dtype=np.uint64)
+_WORDS = BITS // 64
+#: The bits of each block: whole permutations of all bits, one after the other, cut into blocks.
+_BLOCKS = np.concatenate([_RNG.permutation(BITS) for _ in range(-(-KEYS * WIDTH // BITS))])[:KEYS * WIDTH].reshape(KEYS, WIDTH)
 
 
 def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -46,9 +56,9 @@ def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last)), np.uint64, len(last)))
 
 
-def least_hashes(found: np.ndarray) -> np.ndarray:
-    """The least value of the set under each of the ``BANDS * ROWS`` hash functions."""
-    out = np.full(len(_TIMES), np.iinfo(np.uint64).max, dtype=np.uint64)
+def least_hashes(found: np.ndarray, many: int = 125) -> np.ndarray:
+    """The least value of the set under each of ``many`` hash functions. The stage does not use it: it is a second signature for tests."""
+    out = np.full(many, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(found), STRIDE):
         part = found[at:at + STRIDE]
         for k in range(len(out)):
@@ -56,20 +66,76 @@ def least_hashes(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """SimHash of a shingle set, as ``BITS`` bytes of 0 or 1: a bit is 1 if it is set in over half of the shingles' hashes."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(found), 255):  # a byte counts each bit, eight of them are added at once
+        words = (found[at:at + 255, None] ^ _PLUS[:_WORDS]) * _TIMES[:_WORDS]
+        words ^= words >> np.uint64(32)
+        bits = np.unpackbits(words.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+        ones += bits.view(np.uint64).sum(axis=0).view(np.uint8)
+    return (2 * ones > len(found)).astype(np.uint8)
+
+
+def block_keys(bits: np.ndarray) -> np.ndarray:
+    """For each row of fingerprint bits its blocks, numbered apart."""
+    parts = np.packbits(bits[:, _BLOCKS], axis=2, bitorder="little").view("<u2")[..., 0]
+    return parts.astype(np.int32) + (np.arange(KEYS, dtype=np.int32) << WIDTH)
+
+
 def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    nodes, sizes, signs, keys = [], [], [], []
-    for text in batch.column("text").to_pylist():
-        found = shingle_set(text)
-        low = least_hashes(found)
+    nodes, sizes, bits = [], [], np.zeros((batch.num_rows, BITS), dtype=np.uint8)
+    for i, text in enumerate(batch.column("text")):
+        found = shingle_set(text.as_py())
         nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
         sizes.append(len(found))
-        signs.append(low.astype("<u2").tobytes())
-        keys.append([xxhash.xxh64_intdigest(b.tobytes(), SEED + 1 + i) for i, b in enumerate(low.reshape(BANDS, ROWS))])
-    signed = [np.array(v, dtype=np.uint64).view(np.int64) for v in (nodes, [k for row in keys for k in row])]
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), pa.array(signed[1]))
+        bits[i] = wide_fingerprint(found)
+    signs = [x.tobytes() for x in np.packbits(bits, axis=1, bitorder="little")]
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), batch.column("hash"), pa.array(signed[0]), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()),
-         lists], ["doc_id", "hash", "node", "size", "sign", "keys"])
+        [batch.column("doc_id"), batch.column("hash"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
+         pa.array(signs, pa.binary())], ["doc_id", "hash", "node", "size", "sign"])
+
+
+def _blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
+    whole = np.frombuffer(b"".join(batch.column("sign").to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
+    head = [pa.array(np.ascontiguousarray(whole.view("<i8")[:, k])) for k in range(HEAD // 64)]
+    keys = block_keys(np.unpackbits(whole, axis=1, bitorder="little"))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * KEYS), pa.array(keys.ravel()))
+    return pa.RecordBatch.from_arrays([batch.column("node"), *head, lists], ["node", "w0", "w1", "keys"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes that are near another one of their cell, each once, with the smallest node (key) of the group that near ones make there."""
+    for rows in grouped(batches, "cell", 20_000):
+        cell, part, node, w0, w1 = (rows.column(c).to_numpy() for c in ("cell", "part", "node", "w0", "w1"))
+        near = []
+        for a, b in cell_pairs(cell, part):
+            apart = np.bitwise_count((w0[a] ^ w0[b]).view(np.uint64)) + np.bitwise_count((w1[a] ^ w1[b]).view(np.uint64))
+            ok = apart <= RADIUS
+            if ok.any():
+                near.append((a[ok], b[ok]))
+        if near:
+            a, b = (np.concatenate(x) for x in zip(*near))
+            root = local_roots(len(node), a, b)
+            met = np.unique(np.concatenate((a, b)))
+            least = node.copy()
+            np.minimum.at(least, root, node)
+            yield pa.RecordBatch.from_arrays([pa.array(least[root[met]]), pa.array(node[met])], ["key", "node"])
+
+
+def near_groups(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Groups of nodes with fingerprints near each other: key, node. Groups with the same smallest node, the key, are one."""
+    blocks = stored(map_batches(nodes.filter("size > 0").select("node", "sign"), _blocks, "node long, w0 long, w1 long, keys array<int>"))
+    keyed = blocks.select("node", "w0", "w1", F.explode("keys").alias("key"))
+    full = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"))
+    plain, dealt = keyed, None
+    if not full.isEmpty():
+        plain = keyed.join(full, "key", "left_anti")
+        dealt = cells(keyed.join(full, "key", "left_semi"), "key", "node", crowd).select("cell", "part", "node", "w0", "w1")
+    plain = plain.select(F.col("key").cast("long").alias("cell"), F.lit(-1).alias("part"), "node", "w0", "w1")
+    rows = plain if dealt is None else plain.unionAll(dealt)
+    met = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_near, "key long, node long")
+    return stored(met.distinct())
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -97,13 +163,14 @@ def _joined(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, "cell", 1):
             node, cell, part, size, component = (rows.column(c).to_numpy() for c in ("node", "cell", "part", "size", "component"))
-            sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), dtype="<u2").reshape(len(node), -1)
+            sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+            far = APART * 8 * sign.shape[1]
             found = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in rows.column("found")]
             root = np.arange(len(node))
             for a, b in cell_pairs(cell, part):
                 ok = (component[a] != component[b]) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]))
                 a, b = a[ok], b[ok]
-                ok = (root[a] != root[b]) & ((sign[a] == sign[b]).mean(axis=1) >= least - SLACK)
+                ok = (root[a] != root[b]) & (np.bitwise_count(sign[a] ^ sign[b]).sum(axis=1, dtype=np.int64) <= far)
                 links = [(i, j) for i, j in zip(a[ok].tolist(), b[ok].tolist()) if _alike(found[i], found[j], least)]
                 if links:
                     i, j = (np.array(x) for x in zip(*links))
@@ -115,7 +182,7 @@ def _joined(least: float):
     return run
 
 
-def near_copies(docs: DataFrame, least: float = LEAST, cell: int = CELL) -> DataFrame:
+def near_copies(docs: DataFrame, least: float = LEAST, cell: int = CELL, crowd: int = CROWD) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable by links) for every row of ``docs``.
 
     Null, empty and white texts are one set without shingles. Rows that repeat a doc_id stay apart as rows. A null
@@ -123,18 +190,11 @@ def near_copies(docs: DataFrame, least: float = LEAST, cell: int = CELL) -> Data
     """
     texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stored(map_batches(texts, _sketch, f"doc_id {kind}, hash long, node long, size long, sign binary, keys array<long>"))
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("hash", "doc_id")).alias("text"), F.first("size").alias("size"),
-                                            F.first("sign").alias("sign"), F.first("keys").alias("keys")))
-    keyed = stored(nodes.filter("size > 0").select("node", "size", F.explode("keys").alias("key")))
-    met = keyed.groupBy("key").agg(F.min(F.struct("node", "size")).alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    keyed = stored(keyed.join(met.drop("n"), "key"))
-
-    def fits(x: str, y: str):
-        return F.least(x, y) >= F.lit(least) * F.greatest(x, y)
-
-    pairs = stored(keyed.filter(F.col("node") != F.col("low.node")).filter(fits("size", "low.size"))
-                   .select(F.col("node").alias("a"), F.col("low.node").alias("b")).distinct())
+    rows = stored(map_batches(texts, _sketch, f"doc_id {kind}, hash long, node long, size long, sign binary"))
+    kept = [F.first(c).alias(c) for c in ("size", "sign")]
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("hash", "doc_id")).alias("text"), *kept))
+    keyed = stored(near_groups(nodes, crowd).join(nodes.select("node", "size"), "node"))
+    pairs = stored(keyed.groupBy("node").agg(F.min("key").alias("b")).filter("node <> b").withColumnRenamed("node", "a"))
 
     # one text of each node, named by its hash and doc_id; rows alike in both are the same text
     of_node = nodes.join(keyed.select("node").distinct(), "node", "left_semi") \
