@@ -188,3 +188,11 @@ def test_texts_longer_than_a_segment(spark):
     assert len(ids) > 1 << 19 and got[2][1:] == (len(ids), ids.tobytes()) and got[3][0] == got[2][0] + len(ids)
     rows = {r.doc_id: r for r in encode_and_decode(docs, MODEL).collect()}
     assert rows[2].decoded == long and len(rows[2].piece_ids) > 400_000
+
+
+@pytest.mark.parametrize("width", range(1, 33))
+def test_unpacked_undoes_packed(width):
+    from tickloom.llm.token_file import BLOCK, _packed, _unpacked
+
+    values = np.random.default_rng(width).integers(0, 1 << width, (3, BLOCK), dtype=np.uint64).astype(np.uint32)
+    assert (_unpacked(_packed(values, width), width) == values).all()

@@ -103,6 +103,20 @@ def _packed(values: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
+def _unpacked(words: np.ndarray, width: int) -> np.ndarray:
+    """The values of rows that ``_packed`` made."""
+    words = np.ascontiguousarray(words.T)
+    out = np.empty((BLOCK, words.shape[1]), dtype=np.uint32)
+    for k, column in enumerate(out):
+        word, shift = divmod(k * width, 32)
+        np.right_shift(words[word], np.uint32(shift), out=column)
+        if shift + width > 32:
+            column |= words[word + 1] << np.uint32(32 - shift)
+    if width < 32:
+        out &= np.uint32((1 << width) - 1)
+    return out.T
+
+
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
     """Block index, block heads, packed part and exceptions of ``ids``."""
     n = -(-len(ids) // BLOCK)
@@ -171,8 +185,7 @@ class Segment:
             if w:
                 nbytes = int(w) * (BLOCK // 8)
                 raw = self.packed[self.start[low:high][rows].astype(np.int64)[:, None] + np.arange(nbytes)]
-                bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-                rest[rows] = bits.astype(np.uint32) @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
+                rest[rows] = _unpacked(raw.view("<u4"), int(w))
         if high > low:
             to = int(self.first[high]) if high < len(self.first) else len(self.where)
             frm = int(self.first[low])
