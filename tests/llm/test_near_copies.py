@@ -95,3 +95,28 @@ def test_crowded_blocks_give_the_same_copies(spark):
     sets = {i: brute_set(t) for i, t in rows}
     got = {r.doc_id: r.component_id for r in near_copies(docs, crowd=2).collect()}
     assert got == components_of(sets, lambda a, b: similar(sets[a], sets[b]))
+
+
+def test_nodes_that_meet_in_many_blocks_meet_again_once(spark):
+    """A group of near copies goes to the cells about once per node, with every two nodes that met before, and links as brute force does."""
+    from pyspark.sql import functions as F
+
+    from tickloom.llm import near_copies as nc
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(w if rng.random() > 0.025 else f"x{rng.random()}" for w in base) for _ in range(80)]
+    texts += [" ".join(f"y{rng.random()}" for _ in range(300)) for _ in range(20)]
+    signs = [(i, len(s), np.packbits(nc.wide_fingerprint(s), bitorder="little").tobytes())
+             for i, s in enumerate(nc.shingle_set(t.encode()) for t in texts)]
+    groups = nc.near_groups(spark.createDataFrame(signs, "node long, size long, sign binary")).cache()
+    pairs = groups.groupBy("node").agg(F.min("key").alias("b")).filter("node <> b").withColumnRenamed("node", "a")
+    met, again = {}, {}
+    for held, rows in ((met, groups.collect()), (again, nc.merged_groups(groups, pairs).collect())):
+        for r in rows:
+            held.setdefault(r.key, set()).add(r.node)
+    assert sum(map(len, met.values())) > 10 * 80 and sum(map(len, again.values())) <= 2 * 80
+    assert all(any(g <= h for h in again.values()) for g in met.values())
+    sets = {i: brute_set(t) for i, t in enumerate(texts)}
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == components_of(sets, lambda a, b: similar(sets[a], sets[b]))

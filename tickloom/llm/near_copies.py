@@ -4,12 +4,14 @@ link verified.
 At 0.8 about 15 in 100 fingerprint bits differ, too many for the few blocks of 64 bits. So a fingerprint has ``BITS`` bits, and
 its bits are dealt, in several orders, to ``KEYS`` blocks of ``WIDTH`` bits: candidates agree in one whole block, as in op4, and
 differ in at most ``RADIUS`` of their first ``HEAD`` bits. Fingerprints that meet in a block are compared in cells of a bounded number
-(``common.cells`` beyond ``CROWD``); a cell sends on each fingerprint once, with the group that its near ones make there.
+(``common.cells`` beyond ``CROWD``); a cell sends on each fingerprint once, with the group that its near ones make there. Sets whose
+sizes alone rule the similarity out are not near.
 
-Documents of one shingle set are one node. A node is first compared with the smallest node of its groups, one pair per node; groups
-whose nodes are all joined by that are done. In the others, nodes of different components meet in cells of bounded bytes, each with its
-whole shingle set. There they are verified and joined, and a cell sends on one link per node it joined, never its pairs. A pair is a
-link only if its whole shingle sets are similar enough.
+Documents of one shingle set are one node. A node is first compared with the smallest node of its groups, one pair per node. The same
+pairs, linked or not, tell which groups overlap: these become one group where that sends fewer rows and compares no more pairs, so
+that nodes which meet in many blocks meet again once. Groups whose nodes are all joined by the first links are done. In the others, nodes
+of different components meet in cells of bounded bytes, each with its whole shingle set. There they are verified and joined, and a
+cell sends on one link per node it joined, never its pairs. A pair is a link only if its whole shingle sets are similar enough.
 
 The sets are worked out once per node, from one of its texts, and only for nodes that are in a group with another.
 """
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cell_pairs, cells, components, grouped, local_roots, map_batches, stored
@@ -101,46 +103,70 @@ def _blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
     head = [pa.array(np.ascontiguousarray(whole.view("<i8")[:, k])) for k in range(HEAD // 64)]
     keys = block_keys(np.unpackbits(whole, axis=1, bitorder="little"))
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * KEYS), pa.array(keys.ravel()))
-    return pa.RecordBatch.from_arrays([batch.column("node"), *head, lists], ["node", "w0", "w1", "keys"])
+    return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("size"), *head, lists], ["node", "size", "w0", "w1", "keys"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(least: float):
     """Nodes that are near another one of their cell, each once, with the smallest node (key) of the group that near ones make there."""
-    for rows in grouped(batches, "cell", 20_000):
-        cell, part, node, w0, w1 = (rows.column(c).to_numpy() for c in ("cell", "part", "node", "w0", "w1"))
-        near = []
-        for a, b in cell_pairs(cell, part):
-            apart = np.bitwise_count((w0[a] ^ w0[b]).view(np.uint64)) + np.bitwise_count((w1[a] ^ w1[b]).view(np.uint64))
-            ok = apart <= RADIUS
-            if ok.any():
-                near.append((a[ok], b[ok]))
-        if near:
-            a, b = (np.concatenate(x) for x in zip(*near))
-            root = local_roots(len(node), a, b)
-            met = np.unique(np.concatenate((a, b)))
-            least = node.copy()
-            np.minimum.at(least, root, node)
-            yield pa.RecordBatch.from_arrays([pa.array(least[root[met]]), pa.array(node[met])], ["key", "node"])
-
-
-def near_groups(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Groups of nodes with fingerprints near each other: key, node. Groups with the same smallest node, the key, are one."""
-    blocks = stored(map_batches(nodes.filter("size > 0").select("node", "sign"), _blocks, "node long, w0 long, w1 long, keys array<int>"))
-    keyed = blocks.select("node", "w0", "w1", F.explode("keys").alias("key"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, "cell", 20_000):
+            cell, part, node, size, w0, w1 = (rows.column(c).to_numpy() for c in ("cell", "part", "node", "size", "w0", "w1"))
+            near = []
+            for a, b in cell_pairs(cell, part):
+                apart = np.bitwise_count((w0[a] ^ w0[b]).view(np.uint64)) + np.bitwise_count((w1[a] ^ w1[b]).view(np.uint64))
+                ok = apart <= RADIUS
+                a, b = a[ok], b[ok]
+                ok = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])
+                if ok.any():
+                    near.append((a[ok], b[ok]))
+            if near:
+                a, b = (np.concatenate(x) for x in zip(*near))
+                root = local_roots(len(node), a, b)
+                met = np.unique(np.concatenate((a, b)))
+                first = node.copy()
+                np.minimum.at(first, root, node)
+                yield pa.RecordBatch.from_arrays([pa.array(first[root[met]]), pa.array(node[met]), pa.array(size[met])], ["key", "node", "size"])
+
+    return run
+
+
+def near_groups(nodes: DataFrame, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
+    """Groups of nodes with fingerprints near each other: key, node, size. Groups with the same smallest node, the key, are one."""
+    blocks = stored(map_batches(nodes.filter("size > 0").select("node", "size", "sign"), _blocks,
+                                "node long, size long, w0 long, w1 long, keys array<int>"))
+    keyed = blocks.select("node", "size", "w0", "w1", F.explode("keys").alias("key"))
     full = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"))
     plain, dealt = keyed, None
     if not full.isEmpty():
         plain = keyed.join(full, "key", "left_anti")
-        dealt = cells(keyed.join(full, "key", "left_semi"), "key", "node", crowd).select("cell", "part", "node", "w0", "w1")
-    plain = plain.select(F.col("key").cast("long").alias("cell"), F.lit(-1).alias("part"), "node", "w0", "w1")
+        dealt = cells(keyed.join(full, "key", "left_semi"), "key", "node", crowd).select("cell", "part", "node", "size", "w0", "w1")
+    plain = plain.select(F.col("key").cast("long").alias("cell"), F.lit(-1).alias("part"), "node", "size", "w0", "w1")
     rows = plain if dealt is None else plain.unionAll(dealt)
-    met = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_near, "key long, node long")
+    met = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_near(least), "key long, node long, size long")
     return stored(met.distinct())
 
 
+def merged_groups(groups: DataFrame, pairs: DataFrame, cell: int = CELL) -> DataFrame:
+    """Groups (key, node, size) in which all nodes meet that meet in ``groups``. Groups whose keys the pairs (a, b) connect
+    become one where that makes no more rows in cells of ``cell`` bytes and no more pairs than they do apart."""
+    joined = components(pairs).select(F.col("node").alias("key"), F.col("component").alias("nest"))
+    told = stored(groups.join(joined, "key", "left").select("key", F.coalesce("nest", "key").alias("nest"), "node", "size"))
+    n = F.count(F.lit(1))
+    apart = told.groupBy("nest", "key").agg(n.alias("n")).groupBy("nest").agg(
+        F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"))
+    whole = told.select("nest", "node", "size").distinct().groupBy("nest").agg(n.alias("n"), F.sum(_bytes()).alias("bytes"))
+    fewer = (F.ceil(F.col("bytes") / cell) * F.col("n") <= F.col("rows")) & (F.col("n") * (F.col("n") - 1) <= F.col("pairs"))
+    better = stored(apart.join(whole, "nest").filter(fewer).select("nest", F.col("nest").alias("one")))
+    return stored(told.join(better, "nest", "left").select(F.coalesce("one", "key").alias("key"), "node", "size").distinct())
+
+
+def _bytes() -> Column:
+    return F.col("size") * 8 + 256
+
+
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     found = [shingle_set(t).tobytes() for t in batch.column("text").to_pylist()]
-    return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "found"])
+    return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("sign"), pa.array(found, pa.binary())], ["node", "sign", "found"])
 
 
 def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
@@ -193,24 +219,23 @@ def near_copies(docs: DataFrame, least: float = LEAST, cell: int = CELL, crowd:
     rows = stored(map_batches(texts, _sketch, f"doc_id {kind}, hash long, node long, size long, sign binary"))
     kept = [F.first(c).alias(c) for c in ("size", "sign")]
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("hash", "doc_id")).alias("text"), *kept))
-    keyed = stored(near_groups(nodes, crowd).join(nodes.select("node", "size"), "node"))
+    keyed = near_groups(nodes, least, crowd)
     pairs = stored(keyed.groupBy("node").agg(F.min("key").alias("b")).filter("node <> b").withColumnRenamed("node", "a"))
 
     # one text of each node, named by its hash and doc_id; rows alike in both are the same text
     of_node = nodes.join(keyed.select("node").distinct(), "node", "left_semi") \
-        .select("node", F.col("text.hash").alias("hash"), F.col("text.doc_id").alias("_id"))
-    held = texts.join(of_node, "hash").filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    sets = stored(map_batches(held, _sets, "node long, found binary").dropDuplicates(["node"]))
+        .select("node", "sign", F.col("text.hash").alias("hash"), F.col("text.doc_id").alias("_id"))
+    held = texts.join(of_node, "hash").filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "sign", "text")
+    sets = stored(map_batches(held, _sets, "node long, sign binary, found binary").dropDuplicates(["node"]))
     whole = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a") \
         .join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
     links = stored(map_batches(whole.select("a", "b", "x", "y"), _similar(least), "a long, b long"))
     joined = stored(components(links))
-    told = keyed.select("key", "node", "size").join(joined, "node", "left") \
-        .select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-    told = stored(told)
+    told = merged_groups(keyed, pairs, cell).join(joined, "node", "left")
+    told = stored(told.select("key", "node", "size", F.coalesce("component", "node").alias("component")))
     mixed = told.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").select("key")
     mixed = stored(told.join(mixed, "key", "left_semi"))
-    dealt = cells(mixed, "key", "node", cell, F.col("size") * 8 + 256).join(nodes.select("node", "sign"), "node").join(sets, "node")
+    dealt = cells(mixed, "key", "node", cell, _bytes()).join(sets, "node")
     more = dealt.select("cell", "part", "node", "size", "component", "sign", "found").repartition("cell") \
         .sortWithinPartitions("cell").mapInArrow(_joined(least), "a long, b long")
     joined = stored(components(links.unionAll(stored(more))))
