@@ -218,3 +218,20 @@ def test_phrases_odd_rows(spark, odd, none):
     want = _brute_phrases([(r.lang, r.text) for r in odd.collect()], 2, 10)
     assert _phrases(collocations(odd, least=2, first=10)) == want and want
     assert collocations(none).count() == 0
+
+
+def test_frequent_words_reach_their_shards_without_a_join(spark, monkeypatch):
+    """Each word's intervals in all shards carry its one number and sum; no join of words with their frequent ones makes them."""
+    plans, keep = [], phrases.stored
+
+    def seen(rows):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return keep(rows)
+
+    monkeypatch.setattr(phrases, "stored", seen)
+    rows = [("en", "a b c. rare"), ("de", "a b"), (None, "c a b")] * 40 + [("en", "only once")]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], DOC)
+    found, _ = phrases.frequent_phrases(docs, 40, 20)
+    got = {(r.lang, r.phrase): r.f for r in found.filter("size = 1").collect()}
+    assert got == {("en", x): 40 for x in ("a", "b", "c", "rare")} | {("de", x): 40 for x in "ab"} | {("und", x): 40 for x in "abc"}
+    assert plans and not any(re.search(r"Join Inner.*word#", p) for p in plans)

@@ -9,8 +9,8 @@ and to the left by the transform itself, for all intervals at once.
 
 Shards work in two passes, as a phrase of at least ``least`` places has only such parts. First, the intervals of words that
 are frequent over all shards are extended to pairs, whose counts are summed across shards. Then the intervals of
-frequent pairs are extended to 3, 4 and 5 words, each named by the pairs in it, and summed. Frequent words reach their
-shards again by a join. Frequent pairs are sent to all tasks as sorted numbers if their counted bytes are within
+frequent pairs are extended to 3, 4 and 5 words, each named by the pairs in it, and summed. A word's intervals are summed by a
+window over them, so those of frequent words are at hand for their shards without a join. Frequent pairs are sent to all tasks as sorted numbers if their counted bytes are within
 ``LOOKUP_BYTES``, and reach the shards by a join of the pairs' intervals beyond it. Counts, cuts, containment and ranks
 are joins and groups over the frequent phrases.
 """
@@ -284,12 +284,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shard: int = SHARD) ->
     number of words (lang, n)."""
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.col("text").cast("binary").alias("text"))
     index = stored(texts.mapInArrow(_index(shard), INDEX))
-    words = index.filter("lo >= 0").select("shard", "lang", "word", "lo", "n")
+    words = index.filter("lo >= 0").select("shard", "lang", "word", "lo", "n", F.monotonically_increasing_id().alias("row"))
     shards = index.filter("lo < 0").select("shard", "lo", "n", "bwt")
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")))
-    one = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    one = _numbered(one)
-    of_words = stored(words.join(one, ["lang", "word"]).select("shard", "lo", "n", "id"))
+    # a word has one row in each shard that holds it, and is named by the first of them
+    word = Window.partitionBy("lang", "word")
+    marked = words.withColumns({"f": F.sum("n").over(word), "id": F.min("row").over(word) + 1}).filter(F.col("f") >= least)
+    marked = stored(marked.withColumn("first", F.col("row") + 1 == F.col("id")).drop("row"))
+    one = marked.filter("first").select("lang", "word", "f", "id")
+    of_words = marked.select("shard", "lo", "n", "id")
     pairs = _extended(shards, of_words, _pairs, "shard long, lo int, n int, a long, b long")
     two = pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     left, right = one.select(F.col("id").alias("a"), "lang", F.col("word").alias("left")), one.select(
