@@ -192,6 +192,24 @@ def test_phrases_equal_brute_force(spark, shard, monkeypatch):
         assert _phrases(collocations(docs, least=12, first=70, shard=shard)) == want
 
 
+def test_longer_phrases_grow_from_frequent_ones(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [rng.choice("abcdefghij") for _ in range(20_000)] + ["k", "l", "m", "n", "o", "p"] * 100
+    text, least, made = " ".join(words), 100, []
+    extended = phrases._extended
+
+    def counted(*args):
+        made.append(extended(*args).count())
+        return extended(*args)
+
+    monkeypatch.setattr(phrases, "_extended", counted)
+    found = _phrases(collocations(spark.createDataFrame([(1, text, "en")], DOC), least=least))
+    assert found == _brute_phrases([("en", text)], least, phrases.FIRST)
+    held = [Counter(tuple(words[i:i + k]) for i in range(len(words) - k + 1)) for k in range(6)]
+    grown = [sum(held[k - 1][p[1:]] >= least and held[k - 1][p[:-1]] >= least for p in held[k]) for k in (2, 3, 4, 5)]
+    assert made[0] == grown[0] and sum(made[1:]) == sum(grown[1:])
+
+
 def test_transform_walks_back():
     ids = np.array([random.Random(2).randint(0, 5) for _ in range(3000)] + [0] * 6, dtype=np.int32)
     first, right = steps(transform(ids))

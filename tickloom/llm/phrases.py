@@ -7,11 +7,12 @@ phrase's count. The transform alone gives both ways back: sorting it stably give
 the rotation one word further right. So an interval is extended to the right by what stands one row step on,
 and to the left by the transform itself, for all intervals at once.
 
-Shards work in two passes, as a phrase of at least ``least`` places has only such parts. First, the intervals of words that
-are frequent over all shards are extended to pairs, whose counts are summed across shards. Then the intervals of
-frequent pairs are extended to 3, 4 and 5 words, each named by the pairs in it, and summed. A word's intervals are summed by a
+Phrases grow by one word a pass: one of at least ``least`` places has only such parts. The intervals of the words that
+are frequent over all shards are extended to pairs, whose counts are summed across shards; the intervals of frequent pairs are
+extended to 3 words, and so on, so only phrases whose two parts of one word less are frequent are ever counted. Each is named by
+these two parts. A word's intervals are summed by a
 window over them, so those of frequent words are at hand for their shards without a join. Frequent pairs are sent to all tasks as sorted numbers if their counted bytes are within
-``LOOKUP_BYTES``, and reach the shards by a join of the pairs' intervals beyond it. Counts, cuts, containment and ranks
+``LOOKUP_BYTES``, and reach the shards by a join of the pairs' intervals beyond it, as longer phrases do. Counts, cuts, containment and ranks
 are joins and groups over the frequent phrases.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ _PLAIN = bytes.maketrans(_MARKS + b"\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"." * len(_M
 _GAP = re.compile(b"[ \t" + re.escape(_MARKS) + b"]")
 #: What a shard gives first: its words with their intervals, and one row with the transform.
 INDEX = "shard long, lang string, word string, lo int, n int, bwt binary"
+#: Intervals of phrases, each named by the ids of the phrases without its last and without its first word.
+RUNS = "shard long, lo int, n int, a long, b long"
 
 
 class Words(dict):
@@ -201,7 +205,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
 
 
 def _pair_runs(ids: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Intervals of two frequent words: first row, length, and the ids of both words."""
+    """Intervals of phrases whose two parts are frequent: first row, length, and the ids of both parts."""
     on = ids[right]
     row = np.flatnonzero((ids > 0) & (on > 0))
     a, b = ids[row], on[row]
@@ -209,17 +213,6 @@ def _pair_runs(ids: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[start], n, a[start], b[start]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals of frequent words to those of pairs: shard, lo, n, and the ids of both words."""
-    for shard, ids, right in _shards(batches):
-        lo, n, a, b = _pair_runs(ids, right)
-        for at in range(0, len(lo), 100_000):
-            part = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(lo[part]), shard)), pa.array(lo[part], pa.int32()), pa.array(n[part], pa.int32()),
-                 pa.array(a[part]), pa.array(b[part])], ["shard", "lo", "n", "a", "b"])
-
-
 class PairIds:
     """Ids of the frequent pairs by the ids of their words."""
 
@@ -242,41 +235,43 @@ class PairIds:
 
 
 def _longer(lookup=None):
-    """Intervals of frequent pairs to those of 3 to ``DEEPEST`` words: count, and the ids of the pairs in them (0: none). With
-    a ``lookup`` the rows bring the intervals of frequent words instead."""
+    """Intervals of frequent phrases to those of phrases one word longer: shard, lo, n, and the ids of the phrases without the last
+    and without the first word. With a ``lookup`` the rows bring frequent words, which first become frequent pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, right in _shards(batches):
+        for shard, ids, right in _shards(batches):
             if lookup is not None:
                 lo, n, a, b = _pair_runs(ids, right)
                 ids = np.zeros(len(ids), dtype=np.int64)
                 ids[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)] = np.repeat(lookup.value.of(a, b), n)
-            row = np.flatnonzero(ids)
-            pairs, place = [ids[row]], row
-            for _ in range(3, DEEPEST + 1):
-                place = right[place]
-                on = ids[place]
-                place, pairs = place[on > 0], [p[on > 0] for p in pairs] + [on[on > 0]]
-                start, n = _runs(pairs)
-                for at in range(0, len(start), 100_000):
-                    s, k = start[at:at + 100_000], n[at:at + 100_000]
-                    columns = [p[s] for p in pairs] + [np.zeros(len(s), dtype=np.int64)] * (DEEPEST - 1 - len(pairs))
-                    yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), *map(pa.array, columns)],
-                                                     ["n", *(f"p{i}" for i in range(1, DEEPEST))])
+            lo, n, a, b = _pair_runs(ids, right)
+            for at in range(0, len(lo), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(lo[part]), shard)), pa.array(lo[part], pa.int32()), pa.array(n[part], pa.int32()),
+                     pa.array(a[part]), pa.array(b[part])], ["shard", "lo", "n", "a", "b"])
 
     return run
 
 
-def _extended(shards: DataFrame, intervals: DataFrame, work, schema: str) -> DataFrame:
+def _extended(shards: DataFrame, intervals: DataFrame, work) -> DataFrame:
     """``work`` over every shard that has intervals (shard, lo, n, id)."""
     wanted = intervals.select("shard").distinct()
     rows = shards.join(wanted, "shard", "left_semi").select("shard", "lo", "n", F.lit(None).cast("long").alias("id"), "bwt")
     rows = rows.unionAll(intervals.select("shard", "lo", "n", "id", F.lit(None).cast("binary")))
-    return rows.repartition("shard").sortWithinPartitions("shard", "lo").mapInArrow(work, schema)
+    return rows.repartition("shard").sortWithinPartitions("shard", "lo").mapInArrow(work, RUNS)
+
+
+def _frequent(runs: DataFrame, parts: DataFrame, least: int) -> DataFrame:
+    """Phrases with at least ``least`` places in ``runs``, named by the frequent ``parts`` a and b: a, b, lang, phrase, last, f, id."""
+    many = runs.groupBy("a", "b").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    many = many.join(parts.select(F.col("id").alias("a"), "lang", "phrase"), "a").join(parts.select(F.col("id").alias("b"), "last"), "b")
+    many = many.select("a", "b", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f")
+    return stored(many.withColumn("id", F.monotonically_increasing_id() + 1))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    return stored(rows.withColumn("id", F.monotonically_increasing_id() + 1))
+def _intervals(runs: DataFrame, frequent: DataFrame) -> DataFrame:
+    return runs.join(frequent.select("a", "b", "id"), ["a", "b"]).select("shard", "lo", "n", "id")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -291,30 +286,24 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shard: int = SHARD) ->
     word = Window.partitionBy("lang", "word")
     marked = words.withColumns({"f": F.sum("n").over(word), "id": F.min("row").over(word) + 1}).filter(F.col("f") >= least)
     marked = stored(marked.withColumn("first", F.col("row") + 1 == F.col("id")).drop("row"))
-    one = marked.filter("first").select("lang", "word", "f", "id")
+    one = marked.filter("first").select("lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", "id")
     of_words = marked.select("shard", "lo", "n", "id")
-    pairs = _extended(shards, of_words, _pairs, "shard long, lo int, n int, a long, b long")
-    two = pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    left, right = one.select(F.col("id").alias("a"), "lang", F.col("word").alias("left")), one.select(
-        F.col("id").alias("b"), F.col("word").alias("right"))
-    two = _numbered(two.join(left, "a").join(right, "b"))
-    names = [f"p{i}" for i in range(1, DEEPEST)]
+    runs = _extended(shards, of_words, _longer())
+    two = _frequent(runs, one, least)
     if 0 < two.count() <= LOOKUP_BYTES // 24:
         known = two.select("a", "b", "id").toArrow()
         lookup = docs.sparkSession.sparkContext.broadcast(PairIds(*(known.column(c).to_numpy() for c in ("a", "b", "id"))))
-        intervals = of_words
+        runs = _extended(shards, of_words, _longer(lookup))
     else:
-        lookup, intervals = None, pairs.join(two.select("a", "b", "id"), ["a", "b"]).select("shard", "lo", "n", "id")
-    longer = _extended(shards, intervals, _longer(lookup), "n long, " + ", ".join(f"{x} long" for x in names))
-    longer = stored(longer.groupBy(names).agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
-    longer = longer.join(two.select(F.col("id").alias("p1"), "lang", F.concat_ws(" ", "left", "right").alias("phrase")), "p1")
-    for x in names[1:]:
-        longer = longer.join(two.select(F.col("id").alias(x), F.col("right").alias(f"{x}_word")), x, "left")
-    size = 2 + sum(((F.col(x) > 0).cast("int") for x in names[1:]), F.lit(0))
-    longer = longer.select("lang", F.concat_ws(" ", "phrase", *(f"{x}_word" for x in names[1:])).alias("phrase"), size.alias("size"), "f")
-    found = one.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f") \
-        .unionAll(two.select("lang", F.concat_ws(" ", "left", "right"), F.lit(2), "f")).unionAll(longer)
-    return stored(found), totals
+        runs = _extended(shards, _intervals(runs, two), _longer())
+    found = [one, two]
+    for size in range(3, DEEPEST + 1):
+        if size > 3:
+            runs = _extended(shards, stored(_intervals(runs, found[-1])), _longer())
+        runs = stored(runs)  # taken twice, to be summed and for the intervals of the frequent ones
+        found.append(_frequent(runs, found[-1], least))
+    named = [x.select("lang", "phrase", F.lit(i + 1).alias("size"), "f") for i, x in enumerate(found)]
+    return stored(reduce(DataFrame.unionAll, named)), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST, shard: int = SHARD) -> DataFrame:
