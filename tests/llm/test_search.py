@@ -210,6 +210,17 @@ def test_longer_phrases_grow_from_frequent_ones(spark, monkeypatch):
     assert made[0] == grown[0] and sum(made[1:]) == sum(grown[1:])
 
 
+def test_shards_are_shuffled_once_a_pass(spark):
+    ids = [np.array(x, dtype=np.int32) for x in ([1, 2, 1, 2, 0], [1, 1, 0])]
+    rows = [(i, -1, len(x), bytearray(phrases._packed(transform(x)))) for i, x in enumerate(ids)]
+    shards = spark.createDataFrame(rows, "shard long, lo int, n int, bwt binary")
+    words = spark.createDataFrame([(0, 1, 2, 11), (0, 3, 2, 12)], "shard long, lo int, n int, id long")  # none of shard 1
+    found = phrases._extended(shards, words, phrases._longer())
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 1, 2, 11, 12), (0, 4, 1, 12, 11)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_transform_walks_back():
     ids = np.array([random.Random(2).randint(0, 5) for _ in range(3000)] + [0] * 6, dtype=np.int32)
     first, right = steps(transform(ids))

@@ -175,16 +175,16 @@ def _runs(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Each shard's number, the id of the frequent phrase that each row begins with (0: none), and the row one symbol
-    further right. Rows come sorted by shard and lo, the transform first."""
-    shard = bwt = None
+    further right. Rows come sorted by shard and lo, the transform first; shards without frequent phrases are passed over."""
+    shard = packed = size = None
     held: list[pa.RecordBatch] = []
 
     def whole():
-        ids = np.zeros(len(bwt), dtype=np.int64)
+        ids = np.zeros(size, dtype=np.int64)
         for x in held:
             lo, n = x.column("lo").to_numpy().astype(np.int64), x.column("n").to_numpy().astype(np.int64)
             ids[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)] = np.repeat(x.column("id").to_numpy(), n)
-        return shard, ids, steps(bwt)[1]
+        return shard, ids, steps(_unpacked(packed, size))[1]
 
     for batch in batches:
         numbers = batch.column("shard").to_numpy()
@@ -196,7 +196,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
                 if held:
                     yield whole()
                 shard, held = int(numbers[a]), []
-                bwt = _unpacked(batch.column("bwt")[a].as_py(), batch.column("n")[a].as_py())
+                packed, size = batch.column("bwt")[a].as_py(), batch.column("n")[a].as_py()
                 a += 1
             if b > a:
                 held.append(batch.slice(a, b - a).select(["lo", "n", "id"]))
@@ -255,10 +255,10 @@ def _longer(lookup=None):
 
 
 def _extended(shards: DataFrame, intervals: DataFrame, work) -> DataFrame:
-    """``work`` over every shard that has intervals (shard, lo, n, id)."""
-    wanted = intervals.select("shard").distinct()
-    rows = shards.join(wanted, "shard", "left_semi").select("shard", "lo", "n", F.lit(None).cast("long").alias("id"), "bwt")
+    """``work`` over every shard with its intervals (shard, lo, n, id)."""
+    rows = shards.select("shard", "lo", "n", F.lit(None).cast("long").alias("id"), "bwt")
     rows = rows.unionAll(intervals.select("shard", "lo", "n", "id", F.lit(None).cast("binary")))
+    # no join before it, which would shuffle the transforms once more
     return rows.repartition("shard").sortWithinPartitions("shard", "lo").mapInArrow(work, RUNS)
 
 
@@ -299,7 +299,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shard: int = SHARD) ->
     found = [one, two]
     for size in range(3, DEEPEST + 1):
         if size > 3:
-            runs = _extended(shards, stored(_intervals(runs, found[-1])), _longer())
+            runs = _extended(shards, _intervals(runs, found[-1]), _longer())
         runs = stored(runs)  # taken twice, to be summed and for the intervals of the frequent ones
         found.append(_frequent(runs, found[-1], least))
     named = [x.select("lang", "phrase", F.lit(i + 1).alias("size"), "f") for i, x in enumerate(found)]
