@@ -196,3 +196,20 @@ def test_unpacked_undoes_packed(width):
 
     values = np.random.default_rng(width).integers(0, 1 << width, (3, BLOCK), dtype=np.uint64).astype(np.uint32)
     assert (_unpacked(_packed(values, width), width) == values).all()
+
+
+def test_a_worker_forgets_the_encoder_of_another_stage(spark):
+    """Spark reuses Python workers from stage to stage: what the pieces remembered must not stay beside the next stage's work."""
+    import gc
+
+    import pyarrow as pa
+
+    from tickloom.llm.common import map_batches
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(64)], "doc_id long, text string").repartition(8)
+    assert encode_pieces(docs, MODEL).count() == 64
+
+    def held(batch):
+        return pa.RecordBatch.from_arrays([pa.array([sum(isinstance(x, Encoder) for x in gc.get_objects())])], ["n"])
+
+    assert {r.n for r in map_batches(docs, held, "n long").collect()} == {0}

@@ -12,7 +12,6 @@ apart is answered from the tree of merges of each (``compatible``), and remember
 
 from __future__ import annotations
 
-import functools
 import heapq
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, with_field
+from .common import kept_in_stage, map_batches, with_field
 
 SPACE = "▁"
 NEVER = np.iinfo(np.int64).max
@@ -330,12 +329,15 @@ class Encoder(dict):
         return out
 
 
-@functools.lru_cache(maxsize=1)
-def encoder_for(model: str) -> Encoder:
-    """The worker's encoder: what it remembers serves the next task too."""
+def _encoder(model: str) -> Encoder:
     return Encoder(Vocabulary(model))
 
 
+def encoder_for(model: str) -> Encoder:
+    """The worker's encoder: what it remembers serves the next task too, and goes when the worker turns to another stage."""
+    return kept_in_stage(_encoder, model)
+
+
 def decode(ids: list[int], pieces: list[bytes]) -> str:
     text = b"".join(map(pieces.__getitem__, ids))
     return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
